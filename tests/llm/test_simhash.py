@@ -55,7 +55,7 @@ def test_tree_finds_all_within():
 
 
 def test_tree_links_span():
-    chain = [0, 3, 15, 63, 255, 1 << 40]
+    chain = [0, 3, 15, 63, 255, 7 << 40]
     assert len(tree_links(chain, 2)) == 4
 
 
