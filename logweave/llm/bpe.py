@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import sha256_hex, table
-from .encoding import BYTE_BPE, PieceEncoder, tokenizer_path
+from .encoding import BYTE_BPE, PieceEncoder, byte_chars, tokenizer_path
 
 NEVER = 1 << 40
 #: Words whose ids a worker keeps, and their longest length in characters.
@@ -36,14 +36,6 @@ KEPT_WORDS = 400_000
 KEPT_CHARS = 48
 #: Ids decoded at once.
 DECODE_STEP = 1 << 16
-#: How a byte-level vocabulary writes bytes: printable ones as they are, the rest from U+0100 on.
-_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-
-
-def byte_chars() -> dict[str, int]:
-    rest = [b for b in range(256) if b not in set(_PLAIN)]
-    return {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(rest)}
-
 
 class MergeList:
     """A byte-level vocabulary with ranked merges, read from a tokenizers file."""
@@ -171,6 +163,8 @@ class Encoder:
 
     def _plain(self, text: str) -> bytes:
         kept = self.kept
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):  # one word, as most new pieces are
+            return kept[text] if text in kept else self._word(text)
         return b"".join([kept[w] if w in kept else self._word(w) for w in self.words.findall(text)])
 
     def many(self, pieces: list[str]) -> list[bytes]:

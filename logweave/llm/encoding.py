@@ -16,7 +16,7 @@ from functools import lru_cache
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces kept by a worker before it starts afresh, and the longest piece that is kept.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 KEPT_CHARS = 64
 #: Characters of text that are split at once, so that memory does not follow a text's length.
 BLOCK = 1 << 20
@@ -56,37 +56,46 @@ class PieceEncoder:
         self.encode, self.space, self.marks = encode, " " * spaced, tuple(marks)
         self.kept: dict[str, bytes] = {}
 
-    def _risky(self, piece: str) -> bool:
-        return not piece or piece[0].isspace() or any(m in piece for m in self.marks)
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that are not kept; short ones are kept from now on."""
+        made = dict(zip(pieces, self.encode([self.space + p for p in pieces])))
+        self.kept.update((p, ids) for p, ids in made.items() if len(p) <= KEPT_CHARS)
+        return made
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that are not kept: short ones are kept, the others returned."""
-        short = [p for p in pieces if len(p) <= KEPT_CHARS]
-        self.kept.update(zip(short, self.encode([self.space + p for p in short])))
-        long = [p for p in pieces if len(p) > KEPT_CHARS]
-        return dict(zip(long, self.encode([self.space + p for p in long])))
+    def _risky(self, piece: str) -> bool:
+        """White space or a mark at a cut: what stands before the piece could change its ids."""
+        return not piece or piece[0].isspace() or ("<" in piece and any(m in piece for m in self.marks))
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text.  All texts together should be a few MB."""
         if len(self.kept) > KEPT_PIECES:
             self.kept.clear()
-        split = [t.split(" ") for t in texts]
         # the first piece of a text has no space before it; later blocks begin with one
+        split = [t.split(" ") for t in texts]
         heads = self.encode([s[0] for s in split])
+        flat: list[str] = []
+        ends = []
         for s in split:
-            del s[0]
-        new = set().union(*split) - self.kept.keys()
-        if self.space:
-            risky = {p for p in new if self._risky(p)}
-            if risky:
-                for i, s in enumerate(split):
-                    if not risky.isdisjoint(s):
-                        head, *split[i] = _SAFE.split(texts[i])
-                        heads[i] = self.encode([head])[0]
-                new = set().union(*split) - self.kept.keys()
-        own = self._learn(new)
-        get = self.kept.__getitem__ if not own else lambda p, a=self.kept, b=own: b[p] if p in b else a[p]
-        return [h + b"".join(map(get, s)) for h, s in zip(heads, split)]
+            flat += s[1:]
+            ends.append(len(flat))
+        found = list(map(self.kept.get, flat))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        new = dict.fromkeys([flat[i] for i in gaps])
+        risky = {p for p in new if self._risky(p)} if self.space else ()
+        if not risky:
+            made = self._learn(list(new)) if new else new
+        else:
+            made = self._learn([p for p in new if p not in risky])
+        for i in gaps:
+            found[i] = made.get(flat[i])
+        out = [h + b"".join(found[a:b]) if not risky or None not in found[a:b] else None for h, a, b in zip(heads, [0, *ends], ends)]
+        if risky:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    head, *rest = _SAFE.split(texts[i])
+                    whole = self._learn([p for p in dict.fromkeys(rest) if p not in self.kept])
+                    out[i] = self.encode([head])[0] + b"".join([whole[p] if p in whole else self.kept[p] for p in rest])
+        return out
 
     def texts(self, texts: list[str | None], budget: int = 2 * BLOCK) -> Iterator[bytes]:
         """Ids of each text in order; null counts as empty."""
@@ -107,18 +116,74 @@ class PieceEncoder:
         yield from self.many(held)
 
 
-@lru_cache(maxsize=4)
-def library_encoder(path: str, spaced: bool) -> PieceEncoder:
-    """Pieces by the tokenizers library, as its ``encode(text, add_special_tokens=False)`` gives them."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: How a byte-level vocabulary writes bytes: printable ones as they are, the rest from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Below this character no letter decomposes, combines or has an unusual class.
+_SIMPLE = "\u0300"
 
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
-    call = getattr(t, "encode_batch_fast", t.encode_batch)
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in call(pieces, add_special_tokens=False)] if pieces else []
+def byte_chars() -> dict[str, int]:
+    rest = [b for b in range(256) if b not in set(_PLAIN)]
+    return {chr(b): b for b in _PLAIN} | {chr(256 + i): b for i, b in enumerate(rest)}
 
-    return PieceEncoder(encode, spaced, [x.content for x in t.get_added_tokens_decoder().values()])
+
+class LibraryWords:
+    """Ids of pieces from the tokenizers library.
+
+    Pieces of simple characters are split into words here and each new word goes to the library's
+    model; all others, and special tokens, go through the library whole.
+    """
+
+    def __init__(self, path: str, spaced: bool) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        t = self.tokenizer = Tokenizer.from_file(path)
+        t.no_padding()
+        t.no_truncation()
+        self.marks = tuple(x.content for x in t.get_added_tokens_decoder().values())
+        self.lower = not spaced
+        pattern = public_tokenizers.PATTERN
+        if not spaced:  # the lower-casing vocabulary drops white space and takes digits one by one
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+        self.split = regex.compile(pattern).findall
+        self.model = t.model.tokenize
+        self.bytes = str.maketrans({chr(b): c for c, b in byte_chars().items()})
+        self.kept: dict[str, bytes] = {}
+
+    def _ids(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        made = self._ids(word)
+        if len(word) <= KEPT_CHARS:
+            self.kept[word] = made
+        return made
+
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        if len(self.kept) > KEPT_PIECES // 2:
+            self.kept.clear()
+        kept, out = self.kept, []
+        for p in pieces:
+            if not p:
+                out.append(b"")
+                continue
+            if not ((p.isascii() or max(p) < _SIMPLE) and not ("<|" in p and any(m in p for m in self.marks))):
+                out.append(array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes())
+                continue
+            if self.lower:
+                p = p.lower()
+            if (p[1:] if p[0] == " " else p).isalpha():  # one word, and most new pieces are: PieceEncoder keeps it
+                out.append(kept[p] if p in kept else self._ids(p))
+            else:
+                out.append(b"".join([kept[w] if w in kept else self._word(w) for w in self.split(p)]))
+        return out
+
+
+@lru_cache(maxsize=4)
+def library_encoder(path: str, spaced: bool) -> PieceEncoder:
+    """Ids as the tokenizers library's ``encode(text, add_special_tokens=False)`` gives them."""
+    words = LibraryWords(path, spaced)
+    return PieceEncoder(words.encode, spaced, words.marks)
