@@ -16,8 +16,8 @@ from functools import lru_cache
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces kept by a worker before it starts afresh, and the longest piece that is kept.
-KEPT_PIECES = 1_000_000
-KEPT_CHARS = 64
+KEPT_PIECES = 1_500_000
+KEPT_CHARS = 40
 #: Characters of text that are split at once, so that memory does not follow a text's length.
 BLOCK = 1 << 20
 #: A space between two characters that are not white space: no split sees across it.
@@ -59,7 +59,8 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are not kept; short ones are kept from now on."""
         made = dict(zip(pieces, self.encode([self.space + p for p in pieces])))
-        self.kept.update((p, ids) for p, ids in made.items() if len(p) <= KEPT_CHARS)
+        # pieces across a line end are as good as never seen again
+        self.kept.update((p, ids) for p, ids in made.items() if len(p) <= KEPT_CHARS and "\n" not in p)
         return made
 
     def _risky(self, piece: str) -> bool:
@@ -97,7 +98,7 @@ class PieceEncoder:
                     out[i] = self.encode([head])[0] + b"".join([whole[p] if p in whole else self.kept[p] for p in rest])
         return out
 
-    def texts(self, texts: list[str | None], budget: int = 2 * BLOCK) -> Iterator[bytes]:
+    def texts(self, texts: list[str | None], budget: int = BLOCK) -> Iterator[bytes]:
         """Ids of each text in order; null counts as empty."""
         held: list[str] = []
         size = 0
@@ -144,7 +145,7 @@ class LibraryWords:
         t.no_padding()
         t.no_truncation()
         self.marks = tuple(x.content for x in t.get_added_tokens_decoder().values())
-        self.lower = not spaced
+        self.spaced = spaced
         pattern = public_tokenizers.PATTERN
         if not spaced:  # the lower-casing vocabulary drops white space and takes digits one by one
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -152,20 +153,26 @@ class LibraryWords:
         self.model = t.model.tokenize
         self.bytes = str.maketrans({chr(b): c for c, b in byte_chars().items()})
         self.kept: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {} if spaced else self.kept
+        self.stops = {c: self._word(c) for c in ",."}
 
-    def _ids(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.model(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        made = self._ids(word)
-        if len(word) <= KEPT_CHARS:
-            self.kept[word] = made
+    def _of(self, word: str) -> bytes:
+        """Ids of one word: those with a space are kept among the pieces, without it."""
+        kept, key = (self.known, word[1:]) if self.spaced and word[0] == " " else (self.kept, word)
+        if key in kept:
+            return kept[key]
+        made = self._word(word)
+        if len(key) <= KEPT_CHARS:
+            kept[key] = made
         return made
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        if len(self.kept) > KEPT_PIECES // 2:
+        if len(self.kept) > KEPT_PIECES // 4:
             self.kept.clear()
-        kept, out = self.kept, []
+        known, spaced, out = self.known, self.spaced, []
         for p in pieces:
             if not p:
                 out.append(b"")
@@ -173,12 +180,24 @@ class LibraryWords:
             if not ((p.isascii() or max(p) < _SIMPLE) and not ("<|" in p and any(m in p for m in self.marks))):
                 out.append(array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes())
                 continue
-            if self.lower:
-                p = p.lower()
-            if (p[1:] if p[0] == " " else p).isalpha():  # one word, and most new pieces are: PieceEncoder keeps it
-                out.append(kept[p] if p in kept else self._ids(p))
+            if spaced:
+                bare = p[1:] if p[0] == " " else ""
             else:
-                out.append(b"".join([kept[w] if w in kept else self._word(w) for w in self.split(p)]))
+                bare = p = p.lower()
+            # most new pieces are one word, perhaps with a stop after it
+            if bare.isalpha():
+                stop = b""
+            elif bare[-1:] in self.stops and bare[:-1].isalpha():
+                stop, p, bare = self.stops[bare[-1]], p[:-1], bare[:-1]
+            else:
+                out.append(b"".join(map(self._of, self.split(p))))
+                continue
+            ids = known.get(bare)
+            if ids is None:
+                ids = self._word(p)
+                if stop and len(bare) <= KEPT_CHARS:
+                    known[bare] = ids
+            out.append(ids + stop)
         return out
 
 
@@ -186,4 +205,7 @@ class LibraryWords:
 def library_encoder(path: str, spaced: bool) -> PieceEncoder:
     """Ids as the tokenizers library's ``encode(text, add_special_tokens=False)`` gives them."""
     words = LibraryWords(path, spaced)
-    return PieceEncoder(words.encode, spaced, words.marks)
+    encoder = PieceEncoder(words.encode, spaced, words.marks)
+    if spaced:
+        words.known = encoder.kept
+    return encoder

@@ -32,8 +32,9 @@ END_ID = 2
 NULL_ID = -(1 << 63)
 KINDS = ("tokens", "offsets", "docs")
 _META = "part int, docs long, tokens long"
-#: Bytes of ids in one batch of the reader.
+#: Bytes of ids in one batch of the reader, and of 32-bit ids in one write.
 READ_BYTES = 4 << 20
+WRITE_BYTES = 4 << 20
 
 
 def _local(path: str) -> str | None:
@@ -82,12 +83,16 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
         files["offsets"].write(np.zeros(1, "<u8").tobytes())
         for batch in batches:
             files["docs"].write(batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-            for ids in encoder.texts(batch.column(1).to_pylist()):
-                ids += end
-                files["tokens"].write(np.frombuffer(ids, "<u4").astype(kind).tobytes())
-                tokens += len(ids) // 4
-                docs += 1
-                files["offsets"].write(tokens.to_bytes(8, "little"))
+            held, size = [], 0
+            for n, ids in enumerate(encoder.texts(batch.column(1).to_pylist()), 1):
+                held += (ids, end)
+                size += len(ids)
+                if size >= WRITE_BYTES or n == batch.num_rows:
+                    ends = tokens + np.cumsum([(len(a) + len(b)) // 4 for a, b in zip(held[::2], held[1::2])], dtype="<u8")
+                    files["tokens"].write(np.frombuffer(b"".join(held), "<u4").astype(kind).tobytes())
+                    files["offsets"].write(ends.astype("<u8").tobytes())
+                    tokens, docs = int(ends[-1]), docs + len(ends)
+                    held, size = [], 0
     finally:
         for f in files.values():
             f.close()
