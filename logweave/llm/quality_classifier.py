@@ -186,4 +186,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
     return scored.select(
         F.col("row.doc_id").alias("doc_id"), "score", F.when(F.col("score") >= KEEP_AT, 1).otherwise(0).alias("predicted")
-    ).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    ).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

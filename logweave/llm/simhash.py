@@ -116,6 +116,18 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return sharded.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: _search(it, radius), "a long, b long")
 
 
+def groups(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``fp, root, component_id`` for every fingerprint of ``marks(doc_id, fp)``.
+
+    Roots name components whose rows may all lack a doc_id; component_id is their least doc_id.
+    """
+    distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(fingerprint_links(distinct.select("fp"), radius), "a", "b")
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs(doc_id, text, ...)``.
 
@@ -125,13 +137,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     with one component; an empty table gives no rows; other columns are not read.
     """
     marks = settle(fingerprints(docs, shingle), "fingerprints")
-    distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(distinct.select("fp"), radius), "a", "b")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # only linked fingerprints need their component's least id; the others have their own
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marks.join(groups(marks, radius).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` with one row of each component left, all columns as they are.
+
+    The row with the least doc_id stays; of repeated rows one stays; rows with a null doc_id stay
+    only where their component has no other.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["row", "fp"])
+
+    marked = settle(rows.mapInArrow(mark, f"row {kind}, fp long").withColumn("uid", F.monotonically_increasing_id()), "marked")
+    marks = marked.select(F.col("row.doc_id").alias("doc_id"), "fp", "uid")
+    rooted = settle(marks.join(groups(marks, radius).select("fp", "root"), "fp").select("doc_id", "uid", "root"), "rooted")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "uid"))
+    winners = settle(rooted.groupBy("root").agg(first.alias("w")).select("root", F.col("w.uid").alias("winner")), "winners")
+    # the rows that go are few, so they are often small enough for Spark to broadcast
+    losers = rooted.join(winners, "root").where("uid <> winner").select("uid")
+    return marked.join(losers, "uid", "left_anti").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
