@@ -80,7 +80,7 @@ class Discriminant:
         self.means, self.inverse, self.logdet = means, [], []
         for s, n in zip(scatter, counts):
             own = ((1 - pool) * s / n + pool * pooled) / grid
-            own = (1 - ridge) * own + ridge * np.trace(own) / d * np.eye(d)
+            own = (1 - ridge) * own + (ridge * np.trace(own) / d + 1e-6) * np.eye(d)  # flat statistics stay invertible
             factor = np.linalg.cholesky((own + own.T) / 2)
             self.inverse.append(np.linalg.inv(factor).T)
             self.logdet.append(2 * np.log(np.diag(factor)).sum())
