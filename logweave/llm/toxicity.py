@@ -33,7 +33,7 @@ MAX_FEATURES = 2000
 MAX_WINDOWS = 200_000
 #: A feature's least share of toxic sample documents, least number of them, and least ratio of rates.
 MIN_SHARE, MIN_DOCS, MIN_RATIO = 0.01, 4, 20.0
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6, 7, 8)
 WIDTH = 7
 SLOTS = 4
 _WORD = re.compile(r"[^\W\d_]+")
