@@ -26,8 +26,8 @@ WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Characters and common words that a histogram must hold to be judged.
 GUARD_CHARS = 200
 GUARD_WORDS = 60
-MAX_CHARS_DISTANCE = 0.2
-MAX_WORDS_DISTANCE = 0.45
+MAX_CHARS_DISTANCE = 0.28
+MAX_WORDS_DISTANCE = 0.42
 
 #: Frequent function words of the languages: the bins of the word histogram (the last bin: others).
 COMMON = {

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logweave.llm.common import table
-from logweave.llm.quality_rules import CLASSES, WORDS, measure, op9_quality_rules, repeated_words, rules
+from logweave.llm.quality_rules import CLASSES, MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE, WORDS, measure, op9_quality_rules, repeated_words, rules
 
 SCHEMA = "doc_id long, text string, lang string, kept string, n_words int"
 
@@ -64,7 +64,7 @@ def test_whole_table(spark):
         r, want = got[d.doc_id], slow(d.text)
         assert (r.n_words, rows[d.doc_id][1], r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0])
-        near = (r.chars_distance or 0) <= 0.2 and (r.words_distance or 0) <= 0.45
+        near = (r.chars_distance or 0) <= MAX_CHARS_DISTANCE and (r.words_distance or 0) <= MAX_WORDS_DISTANCE
         assert r.kept == (not r.base_failed and near)
 
 
