@@ -4,7 +4,9 @@ Documents with equal texts form a group that no cut may split.  Groups are order
 of their text, and the order is divided into ``cells`` atomic runs of whole groups (a text's cell
 is the head of its hash), so the driver sees at most ``cells`` sizes, however many documents there
 are.  The smallest capacity for which a greedy left-to-right fill needs no more than ``shards``
-shards is found by binary search over those sizes, and the cuts are made there.
+shards is found by binary search over those sizes, and the cuts are made within it.  A cell that
+alone exceeds an even share of the bytes (one text with very many copies) has a shard of its own, as
+otherwise its size would be the capacity of all.
 
 Slots within a shard are ``base of the cell + rank in the cell``.  A cell that holds more than its
 share of the rows (a text with very many copies) is numbered in ``splits`` parts, so no task ever
@@ -28,12 +30,12 @@ HOT_CELLS = 512
 OVERHEAD = 16
 
 
-def fits(prefix: list[int], capacity: int, shards: int) -> list[int] | None:
-    """Greedy check: the cuts (cell indexes at which a shard ends) or None if over ``shards``.
+def fits(prefix: list[int], capacity: int, shards: int, at: int = 0) -> list[int] | None:
+    """Greedy check from cell ``at``: the ends of the shards, or None if over ``shards``.
 
     ``prefix`` are the running sums of the cell sizes, with 0 first.
     """
-    cuts, at, last = [], 0, len(prefix) - 1
+    cuts, last = [], len(prefix) - 1
     while at < last:
         if len(cuts) == shards:
             return None
@@ -46,9 +48,10 @@ def fits(prefix: list[int], capacity: int, shards: int) -> list[int] | None:
 
 
 def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
-    """The smallest feasible capacity of a contiguous partition and its cuts.
+    """The smallest feasible capacity of a contiguous partition, and cuts within it.
 
-    The last cut is ``len(sizes)``; with fewer cuts than shards the remaining shards are empty.
+    Of the cuts that the capacity allows, each is the nearest to an even share of what is left, so
+    the last shards do not run empty.  The last cut is ``len(sizes)``.
     """
     if not sizes:
         return 0, []
@@ -60,7 +63,33 @@ def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
             low = middle + 1
         else:
             high = middle
-    return low, fits(prefix, low, shards)
+    cuts, at, last = [], 0, len(sizes)
+    for left in range(shards, 0, -1):
+        if at == last:
+            break
+        most = bisect_right(prefix, prefix[at] + low) - 1
+        share = prefix[at] + (prefix[-1] - prefix[at]) / left
+        end = bisect_right(prefix, share)
+        if end > at + 1 and share - prefix[end - 1] < prefix[min(end, last)] - share:
+            end -= 1
+        end = min(most, max(end, at + 1), last)
+        while left > 1 and end < most and fits(prefix, low, left - 1, end) is None:
+            end += 1
+        at = last if left == 1 else end
+        cuts.append(at)
+    return low, cuts
+
+
+def apart(sizes: list[int], shards: int) -> list[int]:
+    """Places of the cells that exceed an even share: each has a shard of its own."""
+    out: list[int] = []
+    rest, order = sum(sizes), sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    for i in order:
+        if len(out) + 1 >= shards or sizes[i] * (shards - len(out)) <= rest:
+            break
+        out.append(i)
+        rest -= sizes[i]
+    return sorted(out)
 
 
 def shard(
@@ -89,14 +118,19 @@ def shard(
     found = {r.cell: (r.bytes, r.rows) for r in rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
     order = sorted(found)
     total = sum(n for _, n in found.values())
-    _, cuts = minimax_cuts([found[c][0] for c in order], shards)
+    # cells beyond an even share come first in the order, one shard each; the others follow
+    giants = [order[i] for i in apart([found[c][0] for c in order], shards)]
+    others = [c for c in order if c not in set(giants)]
+    _, cuts = minimax_cuts([found[c][0] for c in others], shards - len(giants))
     # the first cell of each shard but the first; shards that would be empty have none
-    starts = [order[c] for c in cuts[:-1]]
+    starts = [others[c] for c in cuts[:-1]]
     hot = [c for c in order if found[c][1] * hot_cells > total]  # under hot_cells of them
 
-    shard_of = F.lit(0)
+    shard_of = F.lit(len(giants))
     for first in starts:
         shard_of = shard_of + (F.col("cell") >= first).cast("int")
+    for i, c in enumerate(giants):
+        shard_of = F.when(F.col("cell") == c, i).otherwise(shard_of)
     part = F.when(F.col("cell").isin(hot), F.col("part")).otherwise(F.lit(0)) if hot else F.lit(0)
     placed = rows.withColumn("part", part).withColumn("shard", shard_of)
 

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from logweave.llm.sharding import minimax_cuts, shard
+from logweave.llm.sharding import apart, minimax_cuts, shard
 
 SCHEMA = "doc_id long, text string, cell int, shard string"
 
@@ -31,7 +31,16 @@ def test_capacity_is_the_least(sizes, shards):
 
 
 def test_no_sizes():
-    assert minimax_cuts([], 3) == (0, [])
+    assert minimax_cuts([], 3) == (0, []) and apart([], 3) == []
+
+
+def test_no_shard_runs_empty():
+    assert minimax_cuts([5, 1, 1, 1, 1, 1], 4)[1] == [1, 3, 5, 6]
+    assert len(minimax_cuts([10] + [1] * 60, 8)[1]) == 8
+
+
+def test_giants_stand_apart():
+    assert apart([1, 50, 1, 1, 20, 1], 4) == [1, 4] and apart([3, 3, 3], 3) == [] and apart([100], 1) == []
 
 
 def check(rows, docs, shards):
