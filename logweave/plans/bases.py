@@ -33,10 +33,10 @@ def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir).withColumn("key", key)
 
 
-def cmds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The command log; log positions are dense within a shard."""
+def unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands without their log positions."""
     k = F.col("k")
-    rows = keyed(spark, sf_dir).where("event_type <> 'view'").select(
+    return keyed(spark, sf_dir).where("event_type <> 'view'").select(
         shard_of("key", SHARDS).alias("shard"),
         "key",
         F.when(F.col("event_type") == "error", "DELETE").otherwise("PUT").alias("op"),
@@ -48,7 +48,11 @@ def cmds(spark: SparkSession, sf_dir: str) -> DataFrame:
         epoch_ms("ts").alias("ts_ms"),
         "event_id",
     )
-    return dense_index(rows, ["shard"], "event_id", "log_index")
+
+
+def cmds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command log; positions are dense within a shard."""
+    return dense_index(unplaced(spark, sf_dir), ["shard"], "event_id", "log_index")
 
 
 def plain(spark: SparkSession, sf_dir: str) -> DataFrame:

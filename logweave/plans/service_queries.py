@@ -177,7 +177,7 @@ add("bench_keys", bench_keys, f"SELECT c_custkey, key, CAST({B.fnv_sql('key')} %
 def preferred_leaders(spark, sf):
     """Shards round-robin over the sorted peers."""
     peers = F.array_sort(F.array(*map(F.lit, reversed(NODES))))
-    return B.cmds(spark, sf).select("shard").distinct().select("shard", F.element_at(peers, F.col("shard") % len(NODES) + 1).alias("leader"))
+    return B.unplaced(spark, sf).select("shard").distinct().select("shard", F.element_at(peers, F.col("shard") % len(NODES) + 1).alias("leader"))
 
 
 add("preferred_leaders", preferred_leaders, sql(B.CMDS, "SELECT DISTINCT shard, concat('n', shard % 3 + 1) AS leader FROM cmds"))

@@ -25,7 +25,7 @@ add("key_shards", key_shards, sql(B.KEYED, f"SELECT key, {B.fnv_sql('key')} AS h
 
 
 def shard_distribution(spark, sf):
-    n = B.cmds(spark, sf).groupBy("shard").agg(F.count("*").alias("commands"), F.countDistinct("key").alias("keys"))
+    n = B.unplaced(spark, sf).groupBy("shard").agg(F.count("*").alias("commands"), F.countDistinct("key").alias("keys"))
     return n.withColumn("share", F.round(F.col("commands") / F.sum("commands").over(Window.partitionBy()), 6))
 
 
@@ -129,8 +129,7 @@ POINT = "task:3:status"
 
 def point_lookup(spark, sf):
     """One key: only its shard's commands are folded."""
-    shard = X.shard_of(F.lit(POINT), B.SHARDS)
-    own = B.anchored(spark, sf).where(F.col("shard") == shard)
+    own = C.with_anchors(B.cmds(spark, sf).where(F.col("shard") == X.shard_of(F.lit(POINT), B.SHARDS)), B.DEDUP)
     return C.live(C.state(C.fold(C.executed(own).where(F.col("key") == POINT)))).select("key", "value", "version", X.etag("version").alias("etag"))
 
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from logweave.operators import logs as L
@@ -10,9 +11,10 @@ def test_replay_overwrites_the_tail(spark):
     assert [(r.idx, r.term) for r in got] == [(i, 1) for i in range(1, 6)] + [(6, 2), (7, 2)]
 
 
-def test_gaps(spark):
+@pytest.mark.parametrize("s", [1, 2, 3, 100])
+def test_gaps(spark, s):
     rows = spark.createDataFrame([(1,), (2,), (5,), (6,)], "idx long")
-    assert [(r.idx, r.previous) for r in L.gaps(rows).collect()] == [(5, 2)]
+    assert [(r.idx, r.previous) for r in L.gaps(rows, stride=s).collect()] == [(5, 2)]
 
 
 def test_quorum(spark):
