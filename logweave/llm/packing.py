@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import settle, table
 from .encoding import WORD_BPE, library_encoder, tokenizer_path
@@ -124,7 +125,7 @@ def pack(
     other columns are not read.
     """
     field = docs.schema["doc_id"]
-    kind, arrow = field.dataType.simpleString(), {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[field.dataType.simpleString()]
+    kind, arrow = field.dataType.simpleString(), to_arrow_type(field.dataType)
     rows = settle(
         docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
             lambda it: _pack(it, tokenizer, end_id, window, open_windows, arrow),

@@ -168,13 +168,12 @@ def _maps(folder: str, kind: str, p: dict) -> tuple[np.ndarray, np.ndarray, np.n
     return _mapped(f"{name}.docs", "<i8", p["docs"]), _mapped(f"{name}.offsets", "<u8", p["docs"] + 1), _mapped(f"{name}.tokens", kind, p["tokens"])
 
 
-def _read_part(batches: Iterator[pa.RecordBatch], folder: str, manifest: dict) -> Iterator[pa.RecordBatch]:
+def _read_part(batches: Iterator[pa.RecordBatch], folder: str, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for number in batch.column(0).to_pylist():
-            p = manifest["parts"][number]
+        for p in batch.to_pylist():
             if not p["docs"]:
                 continue
-            docs, offsets, tokens = _maps(folder, manifest["ids"], p)
+            docs, offsets, tokens = _maps(folder, kind, p)
             at = 0
             while at < p["docs"]:
                 # as many whole documents as fill a batch
@@ -198,10 +197,11 @@ def _read_part(batches: Iterator[pa.RecordBatch], folder: str, manifest: dict) -
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every document; ids are unsigned 32-bit little-endian."""
     manifest = read_manifest(folder)
-    n = max(1, len(manifest["parts"]))
-    return spark.range(0, len(manifest["parts"]), 1, n).mapInArrow(
-        lambda it: _read_part(it, folder, manifest), "doc_id long, start long, n_tokens long, ids binary"
-    )
+    kind, schema = manifest["ids"], "doc_id long, start long, n_tokens long, ids binary"
+    parts = [(p["part"], p["docs"], p["tokens"], p["token_base"]) for p in manifest["parts"]]
+    # one task a part, which gets its own entry of the manifest only
+    rows = spark.createDataFrame(parts, "part int, docs long, tokens long, token_base long").repartition(max(1, len(parts)))
+    return rows.mapInArrow(lambda it: _read_part(it, folder, kind), schema)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
