@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, table
+from .common import sha256_hex, slices, table
 from .encoding import BYTE_BPE, PieceEncoder, byte_chars, tokenizer_path
 
 NEVER = 1 << 40
@@ -209,7 +209,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, decoded: bool, step: i
     encoder, merges = codec(path)
     decoder = Decoder(merges)
     names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
-    for batch in batches:
+    for batch in slices(batches):
         docs, held, first, size = batch.column(0), [], 0, 0
         bodies = encoder.texts(batch.column(1).to_pylist())
         for n, body in enumerate(bodies, 1):
@@ -225,7 +225,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, decoded: bool, step: i
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     decoder = Decoder(codec(path)[1])
-    for batch in batches:
+    for batch in slices(batches):
         texts = [decoder.text(np.asarray(x or [], np.uint32)) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,28 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that a worker holds few texts as Python strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def with_text(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``row`` (a struct of the kept columns) and ``text``, which is null where the row carries it."""
+    text = F.lit(None).cast("string") if carries(docs, keep) else F.col("text").cast("string")
+    return docs.select(F.struct(*keep).alias("row"), text.alias("text"))
+
+
+def carries(docs: DataFrame, keep: tuple[str, ...]) -> bool:
+    return "text" in keep and docs.schema["text"].dataType.simpleString() == "string"
+
+
+def texts_of(batch: pa.RecordBatch, carried: bool) -> list[str | None]:
+    """The texts of a batch of ``with_text``."""
+    return (batch.column(0).field("text") if carried else batch.column(1)).to_pylist()
+
+
 def doc_crc(column: str = "doc_id"):
     """crc32 of a document's id as decimal text: the folds of the labelled operators."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

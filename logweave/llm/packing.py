@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import settle, table
+from .common import settle, slices, table
 from .encoding import WORD_BPE, library_encoder, tokenizer_path
 
 WINDOW = 2048
@@ -101,7 +101,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window
             column.clear()
         return made
 
-    for batch in batches:
+    for batch in slices(batches):
         for doc, ids in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1).to_pylist())):
             ids += end
             for number, pieces in packer.add((doc, ids), len(ids) // 4):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_crc, settle, table
+from .common import carries, doc_crc, settle, slices, table, texts_of, with_text
 from .quality_rules import CLASSES, WORDS, measure
 
 FOLDS, HELD_OUT = 4, 2
@@ -55,9 +55,9 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [features(t) for t in batch.column(1).to_pylist()]
+def _features(batches: Iterator[pa.RecordBatch], carried: bool) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        rows = [features(t) for t in texts_of(batch, carried)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["row", "x"])
 
 
@@ -130,9 +130,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Discriminant) -> Iterator[p
 
 def measured(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     """``row`` (a struct of the kept columns) and ``x``, written once: the texts are read once."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    rows, carried = with_text(docs, keep), carries(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
-    return settle(rows.mapInArrow(_features, f"row {kind}, x array<double>"), "features")
+    return settle(rows.mapInArrow(lambda it: _features(it, carried), f"row {kind}, x array<double>"), "features")
 
 
 def labels_of(labels: DataFrame, column: str, train: Column) -> DataFrame:

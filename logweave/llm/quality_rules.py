@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, slices, table
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -125,7 +125,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [measure(t or "") for t in batch.column(2).to_pylist()]
         cols = list(zip(*rows)) or [[]] * 7
         yield pa.RecordBatch.from_arrays(

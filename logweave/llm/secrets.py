@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, table
+from .common import carries, settle, slices, table, texts_of
 
 #: Kinds in the order in which equal starts are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "service", "opaque")
@@ -106,10 +106,10 @@ _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64
 _SPANS_SQL = "array<struct<start:bigint,kind:int,end:bigint,hash:bigint,live:boolean>>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _scan(batches: Iterator[pa.RecordBatch], carried: bool) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
         found, base = [], []
-        for text in batch.column(1).to_pylist():
+        for text in texts_of(batch, carried):
             text = text or ""
             spans = base_spans(text)
             base.append(listed(spans))
@@ -151,9 +151,9 @@ def find_secrets(
     """
     owner = F.coalesce(F.col("source").cast("string"), F.lit("")) if owner is None else owner
     repository = F.concat_ws("/", "source", F.coalesce(F.col("lang").cast("string"), F.lit(""))) if repository is None else repository
-    rows = docs.select(
-        F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"), owner.alias("owner"), repository.alias("repository")
-    )
+    carried = carries(docs, keep)
+    text = F.lit(None).cast("string") if carried else F.col("text").cast("string")
+    rows = docs.select(F.struct(*keep).alias("row"), text.alias("text"), owner.alias("owner"), repository.alias("repository"))
     made = T.StructType(
         [
             T.StructField("row", rows.schema["row"].dataType),
@@ -164,7 +164,7 @@ def find_secrets(
         ]
     )
     # the ids are written with the rows, so they stay the same for every later reader
-    scanned = settle(rows.mapInArrow(_scan, made).withColumn("uid", F.monotonically_increasing_id()), "secrets")
+    scanned = settle(rows.mapInArrow(lambda it: _scan(it, carried), made).withColumn("uid", F.monotonically_increasing_id()), "secrets")
     some = F.size("found") > 0
     shared = settle(
         ownership(scanned.where(some)).where((F.col("owners") >= example_owners) & (F.col("repositories") >= example_repositories)).select("hash"),
@@ -201,7 +201,7 @@ MASK = "[SECRET]"
 
 
 def _redact(batches: Iterator[pa.RecordBatch], mask: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             parts, at = [], 0

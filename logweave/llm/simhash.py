@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import spread, tree_links
-from .common import settle, table
+from .common import carries, settle, slices, table, texts_of, with_text
 from .components import components
 
 SHINGLE = 3
@@ -53,8 +53,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
+    for batch in slices(batches):
+        marks = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
 
 
@@ -146,12 +146,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     The row with the least doc_id stays; of repeated rows one stays; rows with a null doc_id stay
     only where their component has no other.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    rows, carried = with_text(docs, tuple(docs.columns)), carries(docs, tuple(docs.columns))
     kind = rows.schema["row"].dataType.simpleString()
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
+        for batch in slices(batches):
+            fps = np.array([fingerprint(t, shingle) for t in texts_of(batch, carried)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["row", "fp"])
 
     marked = settle(rows.mapInArrow(mark, f"row {kind}, fp long").withColumn("uid", F.monotonically_increasing_id()), "marked")

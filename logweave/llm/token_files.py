@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, table
+from .common import shared_path, slices, table
 from .encoding import BYTE_BPE, library_encoder, tokenizer_path
 
 END_ID = 2
@@ -81,7 +81,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     files = {k: _open(f"{temp}.{k}", "wb") for k in KINDS}
     try:
         files["offsets"].write(np.zeros(1, "<u8").tobytes())
-        for batch in batches:
+        for batch in slices(batches, 1024):
             files["docs"].write(batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             held, size = [], 0
             for n, ids in enumerate(encoder.texts(batch.column(1).to_pylist()), 1):

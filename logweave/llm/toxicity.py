@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_crc, settle, table
+from .common import carries, doc_crc, settle, slices, table, texts_of, with_text
 
 FOLDS, HELD_OUT = 5, 0
 REJECT_AT = 0.5
@@ -52,7 +52,7 @@ def word_features(word: str) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found, marks = [], []
         for text in batch.column(0).to_pylist():
             words = set(_WORD.findall(lowered(text)))
@@ -223,7 +223,7 @@ def _automaton(names: tuple[str, ...]):
 def _windows(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     """Windows of tokens around spots, and one from the middle of the text: features and tags."""
     none, half = len(field.names), WIDTH // 2
-    for batch in batches:
+    for batch in slices(batches):
         features, tags = [], []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             spots = {i: ks[:SLOTS] for i, _, _, ks in field.spots(text)}
@@ -235,11 +235,11 @@ def _windows(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], ["features", "tags"])
 
 
-def _judge(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], field: Field, carried: bool) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
-    for batch in batches:
+    for batch in slices(batches):
         scores, spans = [], []
-        for text in batch.column(1).to_pylist():
+        for text in texts_of(batch, carried):
             spots, m = field.judge(text)
             scores.append(field.score(m))
             spans.append([{"start": s, "end": e, "p": p} for (_, s, e, _), p in zip(spots, m) if p >= 0.5])
@@ -247,7 +247,7 @@ def _judge(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Recor
 
 
 def _marginals(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         made = [field.judge(t)[1] for t in batch.column(0).to_pylist()]
         top = [[max(m), float(sum(m))] if m else [] for m in made]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(top, pa.list_(pa.float64()))], ["y", "m"])
@@ -294,9 +294,9 @@ def tag(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",)) -> D
     without evidence; null and repeated doc_ids are scored row by row; an empty table gives no rows;
     kept columns sit in a struct, so no name can clash.
     """
-    rows = docs.select(F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"))
+    rows, carried = with_text(docs, keep), carries(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _judge(it, field), f"row {kind}, score double, spans array<struct<start:bigint,end:bigint,p:double>>")
+    return rows.mapInArrow(lambda it: _judge(it, field, carried), f"row {kind}, score double, spans array<struct<start:bigint,end:bigint,p:double>>")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
