@@ -15,6 +15,8 @@ def _step(state, row):
         return None, (None, None, None, None)
     if state is not None and t < state[2]:
         return state, ("Hit", state[0], (t - state[1]) // 1000, False)
+    if ok is None:  # the origin did not answer: better old than nothing
+        return state, ("Stale", state[0], (t - state[1]) // 1000, True) if state is not None else ("Error", None, None, True)
     if ok:
         label = "RefreshHit" if state is not None and state[0] == version else "Miss"
         return (version, t, t + 1000 * ttl), (label, version, 0, True)
@@ -23,10 +25,11 @@ def _step(state, row):
 
 
 def cache_trace(reads: DataFrame, invalidations: DataFrame) -> DataFrame:
-    """Label of every read: Hit, RefreshHit or Miss, with the version served and the entry's age.
+    """Label of every read (Hit, RefreshHit, Miss, Stale, Error), the version served and its age.
 
-    ``reads(uri, t, read_id, ok, version, ttl)`` carry the origin's answer at that time;
-    ``invalidations(uri, t)`` drop the entry.  Hits need ``t < fetched + ttl``.
+    ``reads(uri, t, read_id, ok, version, ttl)`` carry the origin's answer at that time, ``ok`` null
+    where it is out of reach; ``invalidations(uri, t)`` drop the entry.  Hits need
+    ``t < fetched + ttl``; without an answer an expired entry is served as it is.
     """
     gone = invalidations.select("uri", "t", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("read_id"), F.lit(False).alias("ok"), F.lit(None).cast("bigint").alias("version"), F.lit(None).cast("bigint").alias("ttl"))
     asked = reads.select("uri", "t", F.lit(1).alias("kind"), "read_id", "ok", F.col("version").cast("bigint").alias("version"), F.col("ttl").cast("bigint").alias("ttl"))

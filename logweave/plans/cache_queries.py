@@ -26,11 +26,11 @@ def writes(spark, sf):
 
 
 def reads(spark, sf):
-    """Cache reads with the origin's answer: the key's last write before the read."""
+    """Cache reads with the origin's answer: the key's last write before the read; some get none."""
     asked = B.keyed(spark, sf).where("event_type = 'view'").select("key", (F.col("event_id") * 1000).alias("t"), F.col("event_id").alias("read_id"))
     asked = asked.where(X.in_namespaces("key", B.NAMESPACES))
     seen = as_of(asked, writes(spark, sf), ["key"], "t", ["op", "version", "cacheable", "ttl"])
-    ok = F.coalesce((F.col("op") == "PUT") & F.col("cacheable"), F.lit(False))
+    ok = F.when(F.col("read_id") % 17 != 0, F.coalesce((F.col("op") == "PUT") & F.col("cacheable"), F.lit(False)))
     return seen.select(F.concat(F.lit(PREFIX), X.path_escape("key")).alias("uri"), "key", "t", "read_id", ok.alias("ok"), "version", X.clamp_ttl("ttl").alias("ttl"))
 
 
@@ -40,23 +40,26 @@ def invalidations(spark, sf, delay=0):
     return w.select(F.concat(F.lit(PREFIX), X.path_escape("key")).alias("uri"), (F.col("t") + delay).alias("t"))
 
 
-def trace(spark, sf, delay=0):
-    return cache_trace(reads(spark, sf), invalidations(spark, sf, delay))
+def trace(spark, sf, delay: int | None = 0):
+    """``delay`` None: every invalidation fails."""
+    gone = invalidations(spark, sf, delay or 0)
+    return cache_trace(reads(spark, sf), gone.limit(0) if delay is None else gone)
 
 
 _WRITES = B.EXECUTED + """,
 writes AS (SELECT key, event_id * 1000 AS t, op, version, cacheable, ttl FROM executed WHERE status = 'OK'),
 asked AS (SELECT key, event_id * 1000 AS t, event_id AS read_id FROM keyed WHERE event_type = 'view' AND key LIKE 'config:%'),
-reads AS (SELECT concat('/v1/cache/', a.key) AS uri, a.key, a.t, a.read_id, coalesce(w.op = 'PUT' AND w.cacheable, false) AS ok, w.version,
+reads AS (SELECT concat('/v1/cache/', a.key) AS uri, a.key, a.t, a.read_id, CASE WHEN a.read_id % 17 <> 0 THEN coalesce(w.op = 'PUT' AND w.cacheable, false) END AS ok, w.version,
   CASE WHEN coalesce(w.ttl, 0) = 0 THEN 30 ELSE least(greatest(w.ttl, 1), 300) END AS ttl
   FROM asked a ASOF LEFT JOIN writes w ON w.key = a.key AND w.t < a.t)"""
 
 
-def _trace_sql(delay: int) -> str:
+def _trace_sql(delay: int | None) -> str:
+    some, delay = "false" if delay is None else "true", delay or 0
     return _WRITES + f""",
 trace_rows AS (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY t, kind, read_id) AS rn FROM (
   SELECT uri, t, 1 AS kind, read_id, ok, version, ttl FROM reads UNION ALL
-  SELECT concat('/v1/cache/', key), t + {delay}, 0, NULL, false, NULL, NULL FROM writes WHERE key LIKE 'config:%')),
+  SELECT concat('/v1/cache/', key), t + {delay}, 0, NULL, false, NULL, NULL FROM writes WHERE {some} AND key LIKE 'config:%')),
 steps AS (SELECT DISTINCT uri, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t, CAST(NULL AS BIGINT) AS read_id, CAST(NULL AS BIGINT) AS ver, CAST(NULL AS BIGINT) AS fetched, CAST(NULL AS BIGINT) AS expires,
     CAST(NULL AS VARCHAR) AS label, CAST(NULL AS BIGINT) AS served, CAST(NULL AS BIGINT) AS age, false AS asked_origin FROM trace_rows
   UNION ALL
@@ -64,9 +67,9 @@ steps AS (SELECT DISTINCT uri, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t,
     CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN s.ver WHEN r.ok THEN r.version ELSE s.ver END,
     CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN s.fetched WHEN r.ok THEN r.t ELSE s.fetched END,
     CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN s.expires WHEN r.ok THEN r.t + 1000 * r.ttl ELSE s.expires END,
-    CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN 'Hit' WHEN r.ok AND s.ver = r.version THEN 'RefreshHit' ELSE 'Miss' END,
-    CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN s.ver WHEN r.ok THEN r.version END,
-    CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN (r.t - s.fetched) // 1000 WHEN r.ok THEN 0 END,
+    CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN 'Hit' WHEN r.ok IS NULL AND s.ver IS NULL THEN 'Error' WHEN r.ok IS NULL THEN 'Stale' WHEN r.ok AND s.ver = r.version THEN 'RefreshHit' ELSE 'Miss' END,
+    CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN s.ver WHEN r.ok IS NULL THEN s.ver WHEN r.ok THEN r.version END,
+    CASE WHEN r.kind = 0 THEN NULL WHEN s.ver IS NOT NULL AND r.t < s.expires THEN (r.t - s.fetched) // 1000 WHEN r.ok IS NULL THEN (r.t - s.fetched) // 1000 WHEN r.ok THEN 0 END,
     r.kind = 1 AND NOT (s.ver IS NOT NULL AND r.t < s.expires)
   FROM steps s JOIN trace_rows r ON r.uri = s.uri AND r.rn = s.rn + 1),
 trace AS (SELECT uri, t, read_id, label, served, age, asked_origin FROM steps WHERE label IS NOT NULL)"""
@@ -76,6 +79,8 @@ _TRACE = "SELECT uri, t, read_id, label, served, age, asked_origin FROM trace"
 add("cache_trace", lambda s, d: trace(s, d), sql(_trace_sql(0), _TRACE))
 add("cache_trace_delayed", lambda s, d: trace(s, d, DELAY_MS), sql(_trace_sql(DELAY_MS), _TRACE))
 
+add("cache_trace_failed_invalidation", lambda s, d: trace(s, d, None), sql(_trace_sql(None), _TRACE))
+
 
 def edge_stats(spark, sf):
     n = {k: F.count_if(F.col("label") == k) for k in ("Hit", "Miss", "RefreshHit")}
@@ -87,7 +92,7 @@ def edge_stats(spark, sf):
 
 
 add("edge_stats", edge_stats, sql(_trace_sql(DELAY_MS), """SELECT count(*) FILTER (WHERE label = 'Hit') AS hits, count(*) FILTER (WHERE label = 'Miss') AS misses, count(*) FILTER (WHERE label = 'RefreshHit') AS refresh_hits,
-count(*) FILTER (WHERE asked_origin) AS origin_requests, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE label <> 'Miss') / count(*) ELSE 0.0 END, 6) AS hit_ratio FROM trace"""))
+count(*) FILTER (WHERE asked_origin) AS origin_requests, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE label IN ('Hit', 'RefreshHit')) / count(*) FILTER (WHERE label IN ('Hit', 'RefreshHit', 'Miss')) ELSE 0.0 END, 6) AS hit_ratio FROM trace"""))
 
 
 def cache_hit_ratio(spark, sf):

@@ -40,6 +40,11 @@ def test_refusals_leave_the_old_entry(spark):
     assert got == [("Miss", 1, 0), ("Miss", None, None), ("RefreshHit", 1, 0)]
 
 
+def test_no_answer_serves_the_old_entry(spark):
+    got = labels(spark, [(0, 1, None, None, 1), (10, 2, True, 1, 1), (500, 3, None, None, 1), (5000, 4, None, None, 1)])
+    assert got == [("Error", None, None), ("Miss", 1, 0), ("Hit", 1, 0), ("Stale", 1, 4)]
+
+
 def test_invalidation_drops(spark):
     assert labels(spark, [(0, 1, True, 1, 60), (50, 2, True, 2, 60), (70, 3, True, 2, 60)], [40])[1:] == [("Miss", 2, 0), ("Hit", 2, 0)]
     assert [x[0] for x in labels(spark, [(0, 1, True, 1, 60), (40, 2, True, 1, 60)], [40])] == ["Miss", "Miss"]

@@ -20,3 +20,24 @@ def test_stream_equals_batch(spark, tmp_path):
         assert q.exception() is None
     got = sorted((r.shard, r.log_index, r.anchor, r.status, r.version) for r in spark.read.parquet(out).collect())
     assert got == want
+
+
+def test_invalidation_sink(spark):
+    from logweave.streaming.sinks import invalidate, with_retries
+
+    calls, pauses = [], []
+
+    def purge(paths):
+        calls.append(sorted(paths))
+        if len(calls) < 3:
+            raise OSError("busy")
+
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "path string")
+    invalidate(with_retries(purge, sleep=pauses.append))(rows, 0)
+    assert calls == [["a", "b"]] * 3 and pauses == [0.1, 0.2]
+    calls.clear()
+    import pytest
+
+    with pytest.raises(OSError, match="busy"):
+        invalidate(purge, per_call=1)(rows, 1)
+    assert len(calls) == 2
