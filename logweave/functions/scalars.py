@@ -20,18 +20,18 @@ def col(c: Column | str) -> Column:
 
 def fnv1a32(text: Column | str) -> Column:
     """FNV-1a over the UTF-8 bytes, as a non-negative long."""
-    digits = F.hex(F.encode(col(text), "UTF-8"))
-    n = F.length(digits) / 2
-    # sequence(1, 0) would count down
-    places = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long")
-    step = lambda h, i: (h.bitwiseXOR(byte(i)) * FNV_PRIME).bitwiseAND(F.lit(FNV_MASK))
-    return F.aggregate(places, F.lit(FNV_OFFSET).cast("long"), step)
+    # pairs of hex digits, made once; a lambda over positions would encode the text for every byte
+    pairs = F.regexp_extract_all(F.hex(F.encode(col(text), "UTF-8")), F.lit("(..)"), 1)
+    step = lambda h, pair: (h.bitwiseXOR(F.conv(pair, 16, 10).cast("long")) * FNV_PRIME).bitwiseAND(F.lit(FNV_MASK))
+    return F.aggregate(pairs, F.lit(FNV_OFFSET).cast("long"), step)
 
 
 def shard_of(key: Column | str, shards: int) -> Column:
-    """The shard of a key; all keys are in shard 0 if there is one shard or none."""
-    return F.lit(0) if shards <= 1 else (fnv1a32(key) % shards).cast("int")
+    """The shard of a key; all keys are in shard 0 if there is one shard or none, and null keys.
+
+    Never null, so that joins on it need no filter that hashes every key once more.
+    """
+    return F.lit(0) if shards <= 1 else F.coalesce((fnv1a32(key) % shards).cast("int"), F.lit(0))
 
 
 def etag(version: Column | str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators.ranks import percentiles
 from . import bases as B
 from .bases import sql, table
 
@@ -19,9 +20,8 @@ def add(name, query, oracle=None):
 def samples(spark, sf):
     """op, latency, error; the first day is warm-up and left out."""
     r = B.raw(spark, sf)
-    # whole-table minimum: one row, joined by a scalar subquery in SQL terms
-    start = r.agg(F.min("ts").alias("start"))
-    return r.crossJoin(F.broadcast(start)).where(F.col("ts") >= F.col("start") + F.expr("INTERVAL 1 DAY")).select(F.col("event_type").alias("op"), F.col("value").alias("ms"), (F.col("k") == 0).alias("error"), "event_id", "user_id")
+    start = r.agg(F.min("ts") + F.expr("INTERVAL 1 DAY")).scalar()
+    return r.where(F.col("ts") >= start).select(F.col("event_type").alias("op"), F.col("value").alias("ms"), (F.col("k") == 0).alias("error"), "event_id", "user_id")
 
 
 SAMPLES = B.RAW + """, samples AS (SELECT event_type AS op, value AS ms, k = 0 AS error, event_id, user_id FROM raw WHERE ts >= (SELECT min(ts) FROM raw) + INTERVAL 1 DAY)"""
@@ -58,17 +58,9 @@ add("histogram_cumulative", histogram_cumulative, sql(_HIST + f", bounds AS (SEL
 
 
 def latency_by_op(spark, sf):
-    """Percentiles of every op and of all together, from one pass of grouping sets.
-
-    Values are counted before they are ranked, so a group is as large as its distinct values.
-    """
-    rows = samples(spark, sf).where("NOT error")
-    counted = rows.groupBy("op", "ms").agg(F.count("*").alias("n"))
-    counted = counted.unionByName(counted.groupBy("ms").agg(F.sum("n").alias("n")).withColumn("op", F.lit("all")))
-    w = Window.partitionBy("op")
-    ranked = counted.withColumn("upto", F.sum("n").over(w.orderBy("ms"))).withColumn("total", F.sum("n").over(w))
-    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(p))), F.col("ms")))
-    return ranked.groupBy("op").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("ms").alias("max"), F.max("total").alias("n"))
+    """Percentiles of every op and of all together, by exact rank."""
+    rows = samples(spark, sf).where("NOT error").select(F.explode(F.array("op", F.lit("all"))).alias("op"), "ms")
+    return percentiles(rows, ["op"], "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def _pick(p):

@@ -54,3 +54,13 @@ def test_batches(spark):
     rows = spark.createDataFrame([(0, 0, "a"), (0, 50, "b"), (0, 30, "a"), (0, 51, "c")], "queue int, t long, path string")
     got = sorted((r.batch, r.paths, r.requests) for r in coalesce_invalidations(rows).collect())
     assert got == [(0, ["a", "b"], 3), (51, ["c"], 1)]
+
+
+def test_percentiles_by_rank(spark):
+    from logweave.operators.ranks import percentiles
+
+    rows = [(g, float((i * 37) % n)) for g, n in (("a", 100), ("b", 1), ("c", 7)) for i in range(n)] + [("d", 5.0)] * 9
+    got = {r.g: (r.p50, r.p99, r.max, r.n) for r in percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"p50": 0.5, "p99": 0.99}).collect()}
+    for g in "abcd":
+        xs = sorted(v for k, v in rows if k == g)
+        assert got[g] == (*[xs[min(len(xs) - 1, int(len(xs) * p))] for p in (0.5, 0.99)], xs[-1], len(xs))
