@@ -180,8 +180,6 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) ->
             while to < len(keys) and keys[to] == keys[at] and visitor[to] == visitor[at] and to - at < BLOCK:
                 to += 1
             if keys[at] != key:
-                if len(links) + len(out) > 20_000:
-                    yield report()
                 key, members = keys[at], []
             xi, xw = entry[at:to], weight[at:to]
             if not visitor[at]:
@@ -195,6 +193,8 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) ->
                 for y, yi, yw in members:
                     count(x, xi, xw, y, yi, yw, False)
             at = to
+            if len(links) + len(out) > 20_000:  # counts add up, so a group may be reported in parts
+                yield report()
     yield report()
 
 

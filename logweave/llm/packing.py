@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,7 +39,7 @@ class Packer:
         self.held: dict[int, list[tuple[object, int, int]]] = {}
         self.count = 0
 
-    def _new(self) -> int:
+    def number(self) -> int:
         self.count += 1
         return self.count - 1
 
@@ -46,14 +47,14 @@ class Packer:
         """Place ``total`` ids of ``tag``; yields every window that becomes full."""
         at = 0
         while total - at >= self.window:
-            yield self._new(), [(tag, at, self.window)]
+            yield self.number(), [(tag, at, self.window)]
             at += self.window
         while at < total:
             need = total - at
             i = bisect_left(self.open, (self.window - need + 1, -1)) - 1
             if i < 0:
                 if len(self.open) < self.most:
-                    number = self._new()
+                    number = self.number()
                     self.held[number] = [(tag, at, need)]
                     insort(self.open, (need, number))
                     return
@@ -89,8 +90,8 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window
 
     def lay(number: int, pieces: list, is_open: bool) -> int:
         offset = 0
-        for (doc, ids), start, length in pieces:
-            for column, v in zip(out, (doc, start, ids[4 * start : 4 * (start + length)], len(ids) // 4, base + number, offset, is_open)):
+        for (doc, ids, first, total), start, length in pieces:
+            for column, v in zip(out, (doc, first + start, ids[4 * start : 4 * (start + length)], total, base + number, offset, is_open)):
                 column.append(v)
             offset += length
         return 4 * offset
@@ -104,7 +105,12 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window
     for batch in slices(batches):
         for doc, ids in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1).to_pylist())):
             ids += end
-            for number, pieces in packer.add((doc, ids), len(ids) // 4):
+            total = len(ids) // 4
+            # full windows go out at once; only the rest, less than a window, is held
+            cut = total - total % window
+            whole = [(packer.number(), [((doc, ids, 0, total), at, window)]) for at in range(0, cut, window)]
+            rest = packer.add((doc, ids[4 * cut :], cut, total), total - cut)
+            for number, pieces in chain(whole, rest):
                 size += lay(number, pieces, False)
                 if size >= BATCH_BYTES:
                     yield flush()

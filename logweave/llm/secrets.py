@@ -225,7 +225,9 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     hit = marked.where(F.size("bad") > 0).select("row", F.col("row.text").alias("text"), "bad")
     out = T.StructType([T.StructField("row", hit.schema["row"].dataType), T.StructField("text", T.StringType())])
     masked = hit.mapInArrow(lambda it: _redact(it, mask), out)
-    fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    fresh = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
     return clean.unionByName(masked.select(*[(fresh[c] if c in fresh else F.col("row")[c]).alias(c) for c in docs.columns]))
 
 

@@ -112,9 +112,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
     dealt = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
+        # a doc_id that many rows share (null, say) is still dealt to many tasks
+        .repartitionByRange(n, "doc_id", "tie")
+        .sortWithinPartitions("doc_id", "tie")
     )
     # one row a part
     found = sorted(dealt.mapInArrow(lambda it: _write_part(it, folder, tokenizer, end_id, kind), _META).collect())
