@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, slices, table
+from .common import forgets, hold, sha256_hex, slices, table
 from .encoding import BYTE_BPE, PieceEncoder, byte_chars, tokenizer_path
 
 NEVER = 1 << 40
@@ -198,6 +198,9 @@ def codec(path: str) -> tuple[PieceEncoder, MergeList]:
     return PieceEncoder(Encoder(merges).many, True, merges.special), merges
 
 
+forgets(codec.cache_clear)
+
+
 def _lists(bodies: list[bytes]) -> pa.Array:
     """An Arrow array of lists of ints over the ids' bytes."""
     cuts = np.concatenate(([0], np.cumsum([len(b) // 4 for b in bodies]))).astype("<i4")
@@ -206,10 +209,11 @@ def _lists(bodies: list[bytes]) -> pa.Array:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, decoded: bool, step: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    hold(path)
     encoder, merges = codec(path)
     decoder = Decoder(merges)
     names = ["doc_id", "ids", "decoded"] if decoded else ["doc_id", "ids"]
-    for batch in slices(batches):
+    for batch in slices(batches, kind=path):
         docs, held, first, size = batch.column(0), [], 0, 0
         bodies = encoder.texts(batch.column(1).to_pylist())
         for n, body in enumerate(bodies, 1):
@@ -224,8 +228,9 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, decoded: bool, step: i
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    hold(path)
     decoder = Decoder(codec(path)[1])
-    for batch in slices(batches):
+    for batch in slices(batches, kind=path):
         texts = [decoder.text(np.asarray(x or [], np.uint32)) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +44,50 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+#: Bytes of rows that cross to a Python worker at once while an operator runs its own steps.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches for the actions inside, so that long texts don't fill the workers."""
+    before = spark.conf.get(_BATCH_CONF, None)
+    if before is None or int(str(before).rstrip("b")) in range(1, BATCH_BYTES):
+        yield
+        return
+    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
+_held: list[str] = []
+_caches: list[Callable[[], None]] = []
+
+
+def forgets(release: Callable[[], None]) -> None:
+    """Register what frees a module's caches in a worker."""
+    _caches.append(release)
+
+
+def hold(kind: str) -> None:
+    """Say at the start of a task what its caches are for; others' caches are freed.
+
+    Python workers outlive stages, and the caches of several operators together would not fit.
+    """
+    if _held == [kind]:
+        return
+    if _held:
+        for release in _caches:
+            release()
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # give the memory back to the system
+    _held[:] = [kind]
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -50,7 +97,8 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,8 +108,12 @@ def purge(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches, so that a worker holds few texts as Python strings at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, kind: str = "") -> Iterator[pa.RecordBatch]:
+    """Parts of the batches, so that a worker holds few texts as Python strings at once.
+
+    ``kind`` names the caches that the task uses (see ``hold``).
+    """
+    hold(kind)
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

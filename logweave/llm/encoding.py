@@ -13,10 +13,12 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+from .common import forgets
+
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces kept by a worker before it starts afresh, and the longest piece that is kept.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 600_000
 KEPT_CHARS = 40
 #: Characters of text that are split at once, so that memory does not follow a text's length.
 BLOCK = 1 << 20
@@ -155,6 +157,7 @@ class LibraryWords:
         self.kept: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {} if spaced else self.kept
         self.stops = {c: self._word(c) for c in ",."}
+        self.line = b"".join(map(self._word, self.split(".\n")))
 
     def _word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.model(word.encode().decode("latin-1").translate(self.bytes))]).tobytes()
@@ -190,7 +193,13 @@ class LibraryWords:
             elif bare[-1:] in self.stops and bare[:-1].isalpha():
                 stop, p, bare = self.stops[bare[-1]], p[:-1], bare[:-1]
             else:
-                out.append(b"".join(map(self._of, self.split(p))))
+                # the end of a line between two words is the next most common
+                head, line, tail = bare.partition(".\n")
+                after = self.stops.get(tail[-1:], b"")
+                if line and head.isalpha() and (tail[:-1] if after else tail).isalpha():
+                    out.append(self._of(p[: len(p) - len(bare) + len(head)]) + self.line + self._of(tail[:-1] if after else tail) + after)
+                else:
+                    out.append(b"".join(map(self._of, self.split(p))))
                 continue
             ids = known.get(bare)
             if ids is None:
@@ -209,3 +218,6 @@ def library_encoder(path: str, spaced: bool) -> PieceEncoder:
     if spaced:
         words.known = encoder.kept
     return encoder
+
+
+forgets(library_encoder.cache_clear)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import settle, slices, table
+from .common import hold, settle, slices, table
 from .encoding import WORD_BPE, library_encoder, tokenizer_path
 
 WINDOW = 2048
@@ -81,6 +81,7 @@ _FIELDS = ("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset", "ope
 
 
 def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int, open_windows: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    hold(tokenizer)
     base = TaskContext.get().partitionId() << 32
     encoder, packer = library_encoder(tokenizer, False), Packer(window, open_windows)
     end = end_id.to_bytes(4, "little")
@@ -102,7 +103,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window
             column.clear()
         return made
 
-    for batch in slices(batches):
+    for batch in slices(batches, kind=tokenizer):
         for doc, ids in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1).to_pylist())):
             ids += end
             total = len(ids) // 4

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, slices, table
+from .common import hold, shared_path, slices, small_batches, table
 from .encoding import BYTE_BPE, library_encoder, tokenizer_path
 
 END_ID = 2
@@ -70,6 +70,7 @@ def _rename(old: str, new: str) -> None:
 
 
 def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int | None, kind: str):
+    hold(tokenizer)
     context = TaskContext.get()
     part = context.partitionId()
     encoder = library_encoder(tokenizer, True)
@@ -81,7 +82,7 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     files = {k: _open(f"{temp}.{k}", "wb") for k in KINDS}
     try:
         files["offsets"].write(np.zeros(1, "<u8").tobytes())
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, 1024, tokenizer):
             files["docs"].write(batch.column(0).cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             held, size = [], 0
             for n, ids in enumerate(encoder.texts(batch.column(1).to_pylist()), 1):
@@ -118,7 +119,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         .sortWithinPartitions("doc_id", "tie")
     )
     # one row a part
-    found = sorted(dealt.mapInArrow(lambda it: _write_part(it, folder, tokenizer, end_id, kind), _META).collect())
+    with small_batches(spark):
+        found = sorted(dealt.mapInArrow(lambda it: _write_part(it, folder, tokenizer, end_id, kind), _META).collect())
     bases = [0, *accumulate(r.tokens for r in found)]
     firsts = [0, *accumulate(r.docs for r in found)]
     manifest = {

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carries, doc_crc, settle, slices, table, texts_of, with_text
+from .common import carries, doc_crc, forgets, settle, slices, table, texts_of, with_text
 
 FOLDS, HELD_OUT = 5, 0
 REJECT_AT = 0.5
@@ -52,7 +52,7 @@ def word_features(word: str) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, kind="toxicity"):
         found, marks = [], []
         for text in batch.column(0).to_pylist():
             words = set(_WORD.findall(lowered(text)))
@@ -220,10 +220,13 @@ def _automaton(names: tuple[str, ...]):
     return a
 
 
+forgets(_automaton.cache_clear)
+
+
 def _windows(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
     """Windows of tokens around spots, and one from the middle of the text: features and tags."""
     none, half = len(field.names), WIDTH // 2
-    for batch in slices(batches):
+    for batch in slices(batches, kind="toxicity"):
         features, tags = [], []
         for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             spots = {i: ks[:SLOTS] for i, _, _, ks in field.spots(text)}
@@ -237,7 +240,7 @@ def _windows(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Rec
 
 def _judge(batches: Iterator[pa.RecordBatch], field: Field, carried: bool) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
-    for batch in slices(batches):
+    for batch in slices(batches, kind="toxicity"):
         scores, spans = [], []
         for text in texts_of(batch, carried):
             spots, m = field.judge(text)
@@ -247,7 +250,7 @@ def _judge(batches: Iterator[pa.RecordBatch], field: Field, carried: bool) -> It
 
 
 def _marginals(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, kind="toxicity"):
         made = [field.judge(t)[1] for t in batch.column(0).to_pylist()]
         top = [[max(m), float(sum(m))] if m else [] for m in made]
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(top, pa.list_(pa.float64()))], ["y", "m"])
