@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,25 +44,6 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-#: Bytes of rows that cross to a Python worker at once while an operator runs its own steps.
-BATCH_BYTES = 8 << 20
-_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Smaller Arrow batches for the actions inside, so that long texts don't fill the workers."""
-    before = spark.conf.get(_BATCH_CONF, None)
-    if before is None or int(str(before).rstrip("b")) in range(1, BATCH_BYTES):
-        yield
-        return
-    spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_CONF, before)
-
-
 _held: list[str] = []
 _caches: list[Callable[[], None]] = []
 
@@ -97,8 +78,7 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    with small_batches(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -18,7 +18,7 @@ from .common import forgets
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces kept by a worker before it starts afresh, and the longest piece that is kept.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_200_000
 KEPT_CHARS = 40
 #: Characters of text that are split at once, so that memory does not follow a text's length.
 BLOCK = 1 << 20

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hold, shared_path, slices, small_batches, table
+from .common import hold, shared_path, slices, table
 from .encoding import BYTE_BPE, library_encoder, tokenizer_path
 
 END_ID = 2
@@ -119,8 +119,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         .sortWithinPartitions("doc_id", "tie")
     )
     # one row a part
-    with small_batches(spark):
-        found = sorted(dealt.mapInArrow(lambda it: _write_part(it, folder, tokenizer, end_id, kind), _META).collect())
+    found = sorted(dealt.mapInArrow(lambda it: _write_part(it, folder, tokenizer, end_id, kind), _META).collect())
     bases = [0, *accumulate(r.tokens for r in found)]
     firsts = [0, *accumulate(r.docs for r in found)]
     manifest = {
