@@ -17,7 +17,7 @@ from .common import forgets
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-#: Pieces kept by a worker before it starts afresh, and the longest piece that is kept.
+#: Pieces kept by a worker before it starts afresh (about 0.2 KB each), and the longest kept.
 KEPT_PIECES = 1_200_000
 KEPT_CHARS = 40
 #: Characters of text that are split at once, so that memory does not follow a text's length.
@@ -54,8 +54,8 @@ class PieceEncoder:
     ``marks`` are strings (special tokens) that must not be parted from white space before them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, marks: Iterable[str] = ()) -> None:
-        self.encode, self.space, self.marks = encode, " " * spaced, tuple(marks)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, marks: Iterable[str] = (), most: int = KEPT_PIECES) -> None:
+        self.encode, self.space, self.marks, self.most = encode, " " * spaced, tuple(marks), most
         self.kept: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
@@ -71,7 +71,7 @@ class PieceEncoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text.  All texts together should be a few MB."""
-        if len(self.kept) > KEPT_PIECES:
+        if len(self.kept) > self.most:
             self.kept.clear()
         # the first piece of a text has no space before it; later blocks begin with one
         split = [t.split(" ") for t in texts]
@@ -137,7 +137,7 @@ class LibraryWords:
     model; all others, and special tokens, go through the library whole.
     """
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, most: int = KEPT_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -147,7 +147,7 @@ class LibraryWords:
         t.no_padding()
         t.no_truncation()
         self.marks = tuple(x.content for x in t.get_added_tokens_decoder().values())
-        self.spaced = spaced
+        self.spaced, self.most = spaced, most
         pattern = public_tokenizers.PATTERN
         if not spaced:  # the lower-casing vocabulary drops white space and takes digits one by one
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -173,7 +173,7 @@ class LibraryWords:
         return made
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        if len(self.kept) > KEPT_PIECES // 4:
+        if len(self.kept) > self.most // 4:
             self.kept.clear()
         known, spaced, out = self.known, self.spaced, []
         for p in pieces:
@@ -211,10 +211,10 @@ class LibraryWords:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str, spaced: bool) -> PieceEncoder:
+def library_encoder(path: str, spaced: bool, most: int = KEPT_PIECES) -> PieceEncoder:
     """Ids as the tokenizers library's ``encode(text, add_special_tokens=False)`` gives them."""
-    words = LibraryWords(path, spaced)
-    encoder = PieceEncoder(words.encode, spaced, words.marks)
+    words = LibraryWords(path, spaced, most)
+    encoder = PieceEncoder(words.encode, spaced, words.marks, most)
     if spaced:
         words.known = encoder.kept
     return encoder
