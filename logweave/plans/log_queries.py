@@ -89,7 +89,7 @@ def replica_log(spark, sf):
     return rows.where((F.col("replica") != 4) | (i <= ENTRIES - 300)).select("replica", "idx", term.cast("bigint").alias("term"), F.concat(F.lit("req-"), i).alias("request"))
 
 
-REPLICA = f"""replica_log AS (SELECT r.replica, e.event_id + 1 AS idx, 1 + (e.event_id + 1) // 500 - CASE WHEN r.replica = 3 AND e.event_id + 1 BETWEEN 1200 AND 1299 THEN 1 ELSE 0 END AS term, 'req-' || (e.event_id + 1) AS request
+REPLICA = f"""replica_log AS (SELECT CAST(r.replica AS INTEGER) AS replica, e.event_id + 1 AS idx, 1 + (e.event_id + 1) // 500 - CASE WHEN r.replica = 3 AND e.event_id + 1 BETWEEN 1200 AND 1299 THEN 1 ELSE 0 END AS term, 'req-' || (e.event_id + 1) AS request
 FROM events e, range({REPLICAS}) r(replica) WHERE e.event_id < {ENTRIES} AND (r.replica <> 4 OR e.event_id + 1 <= {ENTRIES} - 300))"""
 
 
@@ -102,7 +102,7 @@ def replica_divergence(spark, sf):
     return both.where(~F.col("term").eqNullSafe(F.col("leader_term"))).select("replica", "idx", "leader_term", "term")
 
 
-add("replica_divergence", replica_divergence, sql(REPLICA, f"""SELECT r.replica, l.idx, l.term AS leader_term, o.term FROM (SELECT * FROM replica_log WHERE replica = 0) l, range(1, {REPLICAS}) r(replica)
+add("replica_divergence", replica_divergence, sql(REPLICA, f"""SELECT CAST(r.replica AS INTEGER) AS replica, l.idx, l.term AS leader_term, o.term FROM (SELECT * FROM replica_log WHERE replica = 0) l, range(1, {REPLICAS}) r(replica)
 LEFT JOIN replica_log o ON o.replica = r.replica AND o.idx = l.idx WHERE o.term IS DISTINCT FROM l.term"""))
 
 
