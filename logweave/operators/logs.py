@@ -17,7 +17,8 @@ def replay(entries: DataFrame, position: str = "pos", index: str = "idx", stride
     after = Window.orderBy(F.desc("_stride")).rowsBetween(Window.unboundedPreceding, -1)
     # one row a stride
     heads = cut.groupBy("_stride").agg(F.min(index).alias("_least")).withColumn("_beyond", F.min("_least").over(after)).drop("_least")
-    within = Window.partitionBy("_stride").orderBy(position).rowsBetween(1, Window.unboundedFollowing)
+    # backwards, as a frame that grows is summed up once and one that shrinks anew for every row
+    within = Window.partitionBy("_stride").orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)
     later = F.least(F.min(index).over(within), F.col("_beyond"))
     return cut.join(heads, "_stride").withColumn("_later", later).where(F.col("_later").isNull() | (F.col("_later") > F.col(index))).drop("_stride", "_beyond", "_later")
 

@@ -114,9 +114,9 @@ def stale_reads(spark, sf):
     served = served.withColumn("key", F.url_decode("key"))
     acks = writes(spark, sf).where("op = 'PUT'").select("key", "t", F.col("version").alias("latest"))
     late = as_of(served, acks, ["key"], "t", ["latest"]).where("latest > served")
-    after = Window.partitionBy("key").orderBy("version").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("key").orderBy(F.desc("version")).rowsBetween(Window.unboundedPreceding, -1)
     put_t = F.when(F.col("op") == "PUT", F.col("t"))
-    superseded = writes(spark, sf).withColumn("since", F.first(put_t, ignorenulls=True).over(after)).select("key", F.col("version").alias("served"), "since")
+    superseded = writes(spark, sf).withColumn("since", F.last(put_t, ignorenulls=True).over(after)).select("key", F.col("version").alias("served"), "since")
     return late.join(superseded, ["key", "served"], "left").select(
         "key", "read_id", "served", "latest", (F.col("t") - F.col("t_right")).alias("staleness_ms"), (F.col("t") - F.col("since")).alias("stale_since_ms")
     )
