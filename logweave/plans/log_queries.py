@@ -159,11 +159,15 @@ add("proposal_outcomes", proposal_outcomes, sql(REPLICA, """SELECT m.term AS pro
 FROM replica_log m LEFT JOIN (SELECT * FROM replica_log WHERE replica = 0 AND idx <= 1900) l ON l.idx = m.idx WHERE m.replica = 3 GROUP BY 1, 2"""))
 
 
+PEERS = 9
+
+
 def status(spark, sf):
-    """shard, last index and a map of peers to match indexes."""
+    """shard, last index and a map of peers to match indexes; three shards of three peers, a fixed cluster."""
     last = B.cmds(spark, sf).groupBy("shard").agg(F.count("*").alias("last"))
-    s = table(spark, sf, "supplier").where(F.col("s_suppkey") < 9).select((F.floor(F.col("s_suppkey") / 3)).cast("int").alias("shard"), F.concat(F.lit("n"), F.col("s_suppkey") % 3 + 1).alias("peer"), (F.col("s_suppkey") * 37 % 100).alias("behind"))
-    rows = last.join(s, "shard").select("shard", "last", "peer", (F.col("last") - F.col("behind")).alias("match"))
+    p = F.col("id")
+    peers = spark.range(PEERS).select((F.floor(p / 3)).cast("int").alias("shard"), F.concat(F.lit("n"), p % 3 + 1).alias("peer"), (p * 37 % 100).alias("behind"))
+    rows = last.join(peers, "shard").select("shard", "last", "peer", (F.col("last") - F.col("behind")).alias("match"))
     return rows.groupBy("shard", "last").agg(F.map_from_entries(F.collect_list(F.struct("peer", "match"))).alias("match_index"))
 
 
