@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,15 +87,84 @@ def backoff_ms(attempt: Column | str, base: int = 20, most: int = 5) -> Column:
     return F.lit(base).cast("long") * F.pow(F.lit(2.0), F.least(col(attempt), F.lit(most))).cast("long")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _digits(text: Column) -> Column:
+    """Significant digits and the exponent of the first one, of a positive number's text."""
+    whole = F.split_part(text, F.lit("."), F.lit(1))
+    rest = F.split_part(text, F.lit("."), F.lit(2))
+    raw = F.concat(whole, F.split_part(rest, F.lit("E"), F.lit(1)))
+    power = F.coalesce(F.split_part(rest, F.lit("E"), F.lit(2)).try_cast("int"), F.lit(0))
+    lead = F.length(raw) - F.length(F.ltrim(raw, F.lit("0")))
+    return F.struct(F.trim(raw, F.lit("0")).alias("d"), (F.length(whole) + power - lead - 1).alias("e"))
+
+
+def _short(x: Column) -> Column:
+    """The text of digits and exponent: an exponent is written below -4 and above 5."""
+    digits, exponent = x["d"], x["e"]
+    size = F.abs(exponent).cast("string")
+    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+    scientific = F.concat(F.left(digits, F.lit(1)), fraction, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+    below_one = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-exponent - 1, F.lit(0))), digits)
+    plain = F.concat(F.left(digits, exponent + 1), F.lit("."), F.substr(digits, exponent + 2))
+    return F.when((exponent < -4) | (exponent >= 6), scientific).when(exponent < 0, below_one).otherwise(plain)
+
+
+def _named(v: Column) -> Column:
+    # before version 19 Java writes a digit too many for some numbers; fewer digits serve if they name the same number
+    rounded = [F.format_string(f"%.{n}E", F.abs(v)) for n in (14, 15, 16)]
+    text = F.coalesce(*[F.when(t.try_cast("double") == F.abs(v), t) for t in rounded], F.abs(v).cast("string"))
+    return F.concat(F.when(v < 0, "-").otherwise(""), bind(bind(text, _digits), _short))
+
+
 def metric_number(value: Column | str) -> Column:
-    """Whole numbers below 1e15 without a fraction, others as Spark writes doubles."""
-    v = col(value)
-    return F.when((v == F.floor(v)) & (F.abs(v) < 1e15), v.cast("long").cast("string")).otherwise(v.cast("string"))
+    """Whole numbers below 1e15 without a fraction; others by their shortest digits, with an exponent
+    of two digits or more where it is below -4 or above 5; ``+Inf``, ``-Inf`` and ``NaN``."""
+    v = col(value).cast("double")
+    return (
+        F.when(F.isnan(v), "NaN")
+        .when(F.abs(v) == float("inf"), F.when(v > 0, "+Inf").otherwise("-Inf"))
+        .when((v == F.floor(v)) & (F.abs(v) < 1e15), v.cast("long").cast("string"))
+        .when(v.isNotNull(), bind(v, _named))
+    )
+
+
+def bool_gauge(flag: Column | str) -> Column:
+    """A gauge of a condition: 1 or 0."""
+    return F.when(col(flag), F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def duration_ms(nanoseconds: Column | str) -> Column:
+    """Milliseconds of a duration as samples give them: whole microseconds, divided by 1000."""
+    return F.floor(col(nanoseconds) / 1000).cast("double") / 1000
+
+
+def http_date(ms: Column | str) -> Column:
+    """``Mon, 02 Jan 2006 15:04:05 GMT`` of milliseconds since 1970, in UTC whatever the session's zone."""
+    seconds = F.floor(col(ms) / 1000).cast("long")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    names = lambda text, i: F.element_at(F.array(*map(F.lit, text.split())), i)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    rest = F.pmod(seconds, F.lit(86400))
+    clock = F.concat_ws(":", two(F.floor(rest / 3600)), two(F.floor(rest / 60) % 60), two(rest % 60))
+    date = F.concat_ws(" ", two(F.dayofmonth(day)), names("Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec", F.month(day)), F.lpad(F.year(day).cast("string"), 4, "0"))
+    return F.concat(names("Sun Mon Tue Wed Thu Fri Sat", F.dayofweek(day)), F.lit(", "), date, F.lit(" "), clock, F.lit(" GMT"))
+
+
+def label_value(text: Column | str) -> Column:
+    """A label's value in quotes, with backslashes, quotes and line ends escaped."""
+    out = col(text)
+    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return F.concat(F.lit('"'), out, F.lit('"'))
 
 
 def series_key(name: Column | str, labels: Column | str) -> Column:
     """``name{a="1",b="2"}`` with label names in order; the name alone without labels."""
-    parts = F.transform(F.array_sort(F.map_keys(col(labels))), lambda k: F.concat(k, F.lit('="'), F.element_at(col(labels), k), F.lit('"')))
+    parts = F.transform(F.array_sort(F.map_keys(col(labels))), lambda k: F.concat(k, F.lit("="), label_value(F.element_at(col(labels), k))))
     return F.when(F.size(F.map_keys(col(labels))) > 0, F.concat(col(name), F.lit("{"), F.array_join(parts, ","), F.lit("}"))).otherwise(col(name))
 
 

@@ -9,6 +9,11 @@ from .sequential import anchored_window, sequential
 
 
 def _step(state, row):
+    state, out = _answer(state, row)
+    return state, (*out, state is not None)
+
+
+def _answer(state, row):
     """state: (version, fetched, expires) or None; row: an invalidation, or a read with the origin's answer."""
     kind, t, ok, version, ttl = row
     if kind == 0:
@@ -24,8 +29,10 @@ def _step(state, row):
     return state, ("Miss", None, None, True)
 
 
-def cache_trace(reads: DataFrame, invalidations: DataFrame) -> DataFrame:
-    """Label of every read (Hit, RefreshHit, Miss, Stale, Error), the version served and its age.
+def cache_steps(reads: DataFrame, invalidations: DataFrame) -> DataFrame:
+    """Reads and invalidations (kind 1 and 0) in order, and whether the cache holds an entry after each.
+
+    Reads have a label (Hit, RefreshHit, Miss, Stale, Error), the version served and its age.
 
     ``reads(uri, t, read_id, ok, version, ttl)`` carry the origin's answer at that time, ``ok`` null
     where it is out of reach; ``invalidations(uri, t)`` drop the entry.  Hits need
@@ -33,11 +40,19 @@ def cache_trace(reads: DataFrame, invalidations: DataFrame) -> DataFrame:
     """
     gone = invalidations.select("uri", "t", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("read_id"), F.lit(False).alias("ok"), F.lit(None).cast("bigint").alias("version"), F.lit(None).cast("bigint").alias("ttl"))
     asked = reads.select("uri", "t", F.lit(1).alias("kind"), "read_id", "ok", F.col("version").cast("bigint").alias("version"), F.col("ttl").cast("bigint").alias("ttl"))
-    traced = sequential(
+    return sequential(
         gone.unionByName(asked), ["uri"], ["t", "kind", "read_id"], ["kind", "t", "ok", "version", "ttl"], lambda: None, _step,
-        {"label": "string", "served": "bigint", "age": "bigint", "asked_origin": "boolean"},
+        {"label": "string", "served": "bigint", "age": "bigint", "asked_origin": "boolean", "held": "boolean"},
     )
-    return traced.where("kind = 1").select("uri", "t", "read_id", "label", "served", "age", "asked_origin")
+
+
+def served(steps: DataFrame) -> DataFrame:
+    return steps.where("kind = 1").select("uri", "t", "read_id", "label", "served", "age", "asked_origin")
+
+
+def cache_trace(reads: DataFrame, invalidations: DataFrame) -> DataFrame:
+    """``uri, t, read_id, label, served, age, asked_origin`` of every read of ``cache_steps``."""
+    return served(cache_steps(reads, invalidations))
 
 
 def coalesce_invalidations(paths: DataFrame, pause_ms: int = 50) -> DataFrame:

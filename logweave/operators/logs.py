@@ -46,3 +46,12 @@ def quorum_index(matches: Column) -> Column:
     """The largest index that a quorum of an array of match indexes has reached."""
     n = F.size(matches)
     return F.element_at(F.array_sort(matches), n - quorum(n) + 1)
+
+
+def advanced_commit(candidate: Column, old: Column, entry_term: Column, own_term: Column) -> Column:
+    """The commit index once a quorum holds ``candidate``.
+
+    Entries of earlier terms are only committed along with one of the leader's own term, and the
+    index never goes back.
+    """
+    return F.when((candidate > old) & (entry_term == own_term), candidate).otherwise(old)

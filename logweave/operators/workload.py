@@ -43,10 +43,17 @@ def zipf_rank(u: Column, keys: int, s: float) -> Column:
     return F.when(found < head, found).otherwise(F.least(F.floor(x - 0.5), F.lit(keys - 1))).cast("bigint")
 
 
+def draw(seed: int, row: Column) -> Column:
+    """A number in [0, 1) that depends on the seed and the row's number only."""
+    digest = F.md5(F.concat(F.lit(f"{seed}-"), row.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+
+
 def workload(spark: SparkSession, requests: int, keys: int, mix: str = "get=80,put=15,delete=5", zipf: float | None = None, cacheable: float = 0.0, seed: int = 1, partitions: int | None = None) -> DataFrame:
-    """``request, op, key``, the same for the same seed and number of partitions."""
+    """``request, op, key``, the same for the same seed however the rows are dealt."""
     shares = parse_mix(mix)
-    rows = spark.range(0, requests, 1, partitions).withColumnRenamed("id", "request").withColumn("_op", F.rand(seed)).withColumn("_key", F.rand(seed + 1))
+    rows = spark.range(0, requests, 1, partitions).withColumnRenamed("id", "request")
+    rows = rows.withColumn("_op", draw(seed, F.col("request"))).withColumn("_key", draw(seed + 1, F.col("request")))
     op = F.lit(shares[-1][0])
     for name, upto in reversed(shares[:-1]):
         op = F.when(F.col("_op") < upto, name).otherwise(op)

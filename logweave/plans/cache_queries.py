@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators.caching import cache_trace, coalesce_invalidations
+from ..operators.caching import cache_steps, coalesce_invalidations, served
 from ..operators.sequential import as_of
+from ..shared import settle
 from . import bases as B
 from .bases import sql, table
 
@@ -21,29 +22,34 @@ def add(name, query, oracle=None):
 
 
 def writes(spark, sf):
-    """Successful writes with their trace time."""
-    return B.executed(spark, sf).where("status = 'OK'").select("key", (F.col("event_id") * 1000).alias("t"), "op", "version", "cacheable", "ttl")
+    """Successful writes with their trace time, folded once and written: every use reads the result."""
+    done = B.executed(spark, sf).where("status = 'OK'").select("key", (F.col("event_id") * 1000).alias("t"), "op", "version", "cacheable", "ttl")
+    return settle(done, "writes")
 
 
-def reads(spark, sf):
+def reads(spark, sf, w):
     """Cache reads with the origin's answer: the key's last write before the read; some get none."""
     asked = B.keyed(spark, sf).where("event_type = 'view'").select("key", (F.col("event_id") * 1000).alias("t"), F.col("event_id").alias("read_id"))
     asked = asked.where(X.in_namespaces("key", B.NAMESPACES))
-    seen = as_of(asked, writes(spark, sf), ["key"], "t", ["op", "version", "cacheable", "ttl"])
+    seen = as_of(asked, w, ["key"], "t", ["op", "version", "cacheable", "ttl"])
     ok = F.when(F.col("read_id") % 17 != 0, F.coalesce((F.col("op") == "PUT") & F.col("cacheable"), F.lit(False)))
     return seen.select(F.concat(F.lit(PREFIX), X.path_escape("key")).alias("uri"), "key", "t", "read_id", ok.alias("ok"), "version", X.clamp_ttl("ttl").alias("ttl"))
 
 
-def invalidations(spark, sf, delay=0):
+def invalidations(w, delay=0):
     """Every write in the namespace invalidates its path, cacheable or not."""
-    w = writes(spark, sf).where(X.in_namespaces("key", B.NAMESPACES))
-    return w.select(F.concat(F.lit(PREFIX), X.path_escape("key")).alias("uri"), (F.col("t") + delay).alias("t"))
+    own = w.where(X.in_namespaces("key", B.NAMESPACES))
+    return own.select(F.concat(F.lit(PREFIX), X.path_escape("key")).alias("uri"), (F.col("t") + delay).alias("t"))
 
 
-def trace(spark, sf, delay: int | None = 0):
+def steps(spark, sf, delay: int | None, w):
+    gone = invalidations(w, delay or 0)
+    return cache_steps(reads(spark, sf, w), gone.limit(0) if delay is None else gone)
+
+
+def trace(spark, sf, delay: int | None = 0, w=None):
     """``delay`` None: every invalidation fails."""
-    gone = invalidations(spark, sf, delay or 0)
-    return cache_trace(reads(spark, sf), gone.limit(0) if delay is None else gone)
+    return served(steps(spark, sf, delay, writes(spark, sf) if w is None else w))
 
 
 _WRITES = B.EXECUTED + """,
@@ -83,16 +89,33 @@ add("cache_trace_failed_invalidation", lambda s, d: trace(s, d, None), sql(_trac
 
 
 def edge_stats(spark, sf):
-    n = {k: F.count_if(F.col("label") == k) for k in ("Hit", "Miss", "RefreshHit")}
-    good, all_ = n["Hit"] + n["RefreshHit"], n["Hit"] + n["RefreshHit"] + n["Miss"]
-    return trace(spark, sf, DELAY_MS).agg(
-        n["Hit"].alias("hits"), n["Miss"].alias("misses"), n["RefreshHit"].alias("refresh_hits"), F.count_if("asked_origin").alias("origin_requests"),
-        F.round(F.when(all_ > 0, good / all_).otherwise(0.0), 6).alias("hit_ratio"),
-    )
+    """Counters of an edge whose invalidations are late, and of one whose invalidations fail."""
+    w = writes(spark, sf)
+    asked = invalidations(w).agg(F.count("*")).scalar()
+    n = {k: F.sum(k) for k in ("hits", "misses", "refresh_hits", "origin_requests", "entries")}
+    counted = {"hits": F.col("label") == "Hit", "misses": F.col("label") == "Miss", "refresh_hits": F.col("label") == "RefreshHit", "origin_requests": F.col("asked_origin")}
+    last = F.max_by("held", F.struct("t", "kind", "read_id"))
+    good, all_ = n["hits"] + n["refresh_hits"], n["hits"] + n["refresh_hits"] + n["misses"]
+    ratio = F.round(F.when(all_ > 0, good / all_).otherwise(0.0), 6)
+
+    def of(mode, delay, took, failed):
+        # one row an entry's address, then one row
+        by_uri = steps(spark, sf, delay, w).groupBy("uri").agg(*[F.count_if(c).alias(k) for k, c in counted.items()], last.cast("long").alias("entries"))
+        return by_uri.agg(*[c.alias(k) for k, c in n.items()], ratio.alias("hit_ratio")).select(F.lit(mode).alias("mode"), "*", took.alias("invalidations"), failed.alias("failed_invalidations"))
+
+    none = F.lit(0).cast("bigint")
+    return of("late", DELAY_MS, asked, none).unionByName(of("failing", None, none, asked))
+
+
+def _stats_sql(delay: int | None, mode: str) -> str:
+    sent = "(SELECT count(*) FROM writes WHERE key LIKE 'config:%')"
+    return _trace_sql(delay) + f""" SELECT '{mode}' AS mode, count(*) FILTER (WHERE label = 'Hit') AS hits, count(*) FILTER (WHERE label = 'Miss') AS misses, count(*) FILTER (WHERE label = 'RefreshHit') AS refresh_hits,
+count(*) FILTER (WHERE asked_origin) AS origin_requests, (SELECT count(*) FROM (SELECT uri, arg_max(coalesce(ver, -1), rn) AS v FROM steps GROUP BY uri) WHERE v >= 0) AS entries,
+round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE label IN ('Hit', 'RefreshHit')) / count(*) FILTER (WHERE label IN ('Hit', 'RefreshHit', 'Miss')) ELSE 0.0 END, 6) AS hit_ratio,
+{"CAST(0 AS BIGINT)" if delay is None else sent} AS invalidations, {sent if delay is None else "CAST(0 AS BIGINT)"} AS failed_invalidations FROM trace"""
 
 
-add("edge_stats", edge_stats, sql(_trace_sql(DELAY_MS), """SELECT count(*) FILTER (WHERE label = 'Hit') AS hits, count(*) FILTER (WHERE label = 'Miss') AS misses, count(*) FILTER (WHERE label = 'RefreshHit') AS refresh_hits,
-count(*) FILTER (WHERE asked_origin) AS origin_requests, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE label IN ('Hit', 'RefreshHit')) / count(*) FILTER (WHERE label IN ('Hit', 'RefreshHit', 'Miss')) ELSE 0.0 END, 6) AS hit_ratio FROM trace"""))
+add("edge_stats", edge_stats, f"SELECT * FROM (WITH RECURSIVE {_stats_sql(DELAY_MS, 'late')}) UNION ALL SELECT * FROM (WITH RECURSIVE {_stats_sql(None, 'failing')})")
 
 
 def cache_hit_ratio(spark, sf):
@@ -110,13 +133,14 @@ def stale_reads(spark, sf):
     ``staleness_ms`` counts from that latest PUT, ``stale_since_ms`` from the first PUT after the
     served version.
     """
-    served = trace(spark, sf, DELAY_MS).where("served IS NOT NULL").withColumn("key", F.replace("uri", F.lit(PREFIX), F.lit("")))
+    w = writes(spark, sf)
+    served = trace(spark, sf, DELAY_MS, w).where("served IS NOT NULL").withColumn("key", F.replace("uri", F.lit(PREFIX), F.lit("")))
     served = served.withColumn("key", F.url_decode("key"))
-    acks = writes(spark, sf).where("op = 'PUT'").select("key", "t", F.col("version").alias("latest"))
+    acks = w.where("op = 'PUT'").select("key", "t", F.col("version").alias("latest"))
     late = as_of(served, acks, ["key"], "t", ["latest"]).where("latest > served")
     after = Window.partitionBy("key").orderBy(F.desc("version")).rowsBetween(Window.unboundedPreceding, -1)
     put_t = F.when(F.col("op") == "PUT", F.col("t"))
-    superseded = writes(spark, sf).withColumn("since", F.last(put_t, ignorenulls=True).over(after)).select("key", F.col("version").alias("served"), "since")
+    superseded = w.withColumn("since", F.last(put_t, ignorenulls=True).over(after)).select("key", F.col("version").alias("served"), "since")
     return late.join(superseded, ["key", "served"], "left").select(
         "key", "read_id", "served", "latest", (F.col("t") - F.col("t_right")).alias("staleness_ms"), (F.col("t") - F.col("since")).alias("stale_since_ms")
     )

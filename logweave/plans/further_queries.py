@@ -20,15 +20,16 @@ def add(name, query, oracle=None):
 
 
 def read_projection(spark, sf):
-    """What a read returns: time in RFC 3339 without trailing zeros."""
+    """What a read returns: time in RFC 3339 without trailing zeros, and as a header's date."""
     ms = F.col("updated_ms")
     fraction = F.when(ms % 1000 == 0, "").otherwise(F.concat(F.lit("."), F.rtrim(F.lpad((ms % 1000).cast("string"), 3, "0"), F.lit("0"))))
     at = F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
-    return C.live(B.state(spark, sf)).select("key", F.col("value").cast("string").alias("value"), "version", at.alias("updated_at"))
+    return C.live(B.state(spark, sf)).select("key", F.col("value").cast("string").alias("value"), "version", at.alias("updated_at"), X.http_date(ms).alias("last_modified"))
 
 
 add("read_projection", read_projection, sql(B.STATE, """SELECT key, CAST(value AS VARCHAR) AS value, version, concat(strftime(make_timestamp(updated_ms * 1000), '%Y-%m-%dT%H:%M:%S'),
-CASE WHEN updated_ms % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(updated_ms % 1000 AS VARCHAR), 3, '0'), '0') END, 'Z') AS updated_at FROM state WHERE NOT deleted"""))
+CASE WHEN updated_ms % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(updated_ms % 1000 AS VARCHAR), 3, '0'), '0') END, 'Z') AS updated_at,
+strftime(make_timestamp(updated_ms * 1000), '%a, %d %b %Y %H:%M:%S GMT') AS last_modified FROM state WHERE NOT deleted"""))
 
 
 def cache_fill(spark, sf):

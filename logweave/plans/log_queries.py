@@ -77,20 +77,24 @@ def applied_entries(spark, sf):
 
 add("applied_entries", applied_entries, sql(WAL, "SELECT term, count(*) AS entries, min(idx) AS first_idx, max(idx) AS last_idx FROM wal WHERE NOT hard_state GROUP BY term"))
 
-REPLICAS, ENTRIES = 5, 2000
+REPLICAS = 5
+#: A stretch that diverges in every so many entries, and what the fifth replica lacks at the end.
+PERIOD, DIVERGES, MISSING = 2000, (1200, 1299), 300
 
 
 def replica_log(spark, sf):
-    """Five replicas of one log; the fourth diverges over a stretch, the fifth stops early."""
+    """Five replicas of one log, an entry an event; the fourth diverges over a stretch of every
+    ``PERIOD`` entries, the fifth stops early."""
     i = F.col("idx")
-    entries = table(spark, sf, "events").where(F.col("event_id") < ENTRIES).select((F.col("event_id") + 1).alias("idx"), "user_id")
-    rows = entries.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(REPLICAS - 1))))
-    term = 1 + F.floor(i / 500) - ((F.col("replica") == 3) & i.between(1200, 1299)).cast("int")
-    return rows.where((F.col("replica") != 4) | (i <= ENTRIES - 300)).select("replica", "idx", term.cast("bigint").alias("term"), F.concat(F.lit("req-"), i).alias("request"))
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("event_id") + 1).scalar()
+    rows = events.select((F.col("event_id") + 1).alias("idx")).withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(REPLICAS - 1))))
+    term = 1 + F.floor(i / 500) - ((F.col("replica") == 3) & (i % PERIOD).between(*DIVERGES)).cast("int")
+    return rows.where((F.col("replica") != 4) | (i <= last - MISSING)).select("replica", "idx", term.cast("bigint").alias("term"), F.concat(F.lit("req-"), i).alias("request"))
 
 
-REPLICA = f"""replica_log AS (SELECT CAST(r.replica AS INTEGER) AS replica, e.event_id + 1 AS idx, 1 + (e.event_id + 1) // 500 - CASE WHEN r.replica = 3 AND e.event_id + 1 BETWEEN 1200 AND 1299 THEN 1 ELSE 0 END AS term, 'req-' || (e.event_id + 1) AS request
-FROM events e, range({REPLICAS}) r(replica) WHERE e.event_id < {ENTRIES} AND (r.replica <> 4 OR e.event_id + 1 <= {ENTRIES} - 300))"""
+REPLICA = f"""replica_log AS (SELECT CAST(r.replica AS INTEGER) AS replica, e.event_id + 1 AS idx, 1 + (e.event_id + 1) // 500 - CASE WHEN r.replica = 3 AND (e.event_id + 1) % {PERIOD} BETWEEN {DIVERGES[0]} AND {DIVERGES[1]} THEN 1 ELSE 0 END AS term, 'req-' || (e.event_id + 1) AS request
+FROM events e, range({REPLICAS}) r(replica) WHERE r.replica <> 4 OR e.event_id + 1 <= (SELECT max(event_id) + 1 FROM events) - {MISSING})"""
 
 
 def replica_divergence(spark, sf):
@@ -147,16 +151,18 @@ add("phantom_writes", phantom_writes, sql(REPLICA, """SELECT o.request FROM repl
 
 
 def proposal_outcomes(spark, sf):
-    """Proposals waiting on replica 3 against the leader's entries: same term committed, another lost."""
+    """Proposals waiting on replica 3 against what the leader has applied, all but the last hundred
+    entries: same term committed, another lost."""
     log = replica_log(spark, sf)
     mine = log.where("replica = 3").select("idx", F.col("term").alias("proposed"))
-    lead = log.where("replica = 0 AND idx <= 1900").select("idx", "term")
+    last = table(spark, sf, "events").agg(F.max("event_id") + 1).scalar()
+    lead = log.where((F.col("replica") == 0) & (F.col("idx") <= last - 100)).select("idx", "term")
     out = F.when(F.col("term").isNull(), "unknown").when(F.col("term") == F.col("proposed"), "committed").otherwise("lost")
     return mine.join(lead, "idx", "left").groupBy("proposed", out.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 add("proposal_outcomes", proposal_outcomes, sql(REPLICA, """SELECT m.term AS proposed, CASE WHEN l.term IS NULL THEN 'unknown' WHEN l.term = m.term THEN 'committed' ELSE 'lost' END AS outcome, count(*) AS n
-FROM replica_log m LEFT JOIN (SELECT * FROM replica_log WHERE replica = 0 AND idx <= 1900) l ON l.idx = m.idx WHERE m.replica = 3 GROUP BY 1, 2"""))
+FROM replica_log m LEFT JOIN (SELECT * FROM replica_log WHERE replica = 0 AND idx <= (SELECT max(event_id) + 1 FROM events) - 100) l ON l.idx = m.idx WHERE m.replica = 3 GROUP BY 1, 2"""))
 
 
 PEERS = 9
@@ -171,8 +177,8 @@ def status(spark, sf):
     return rows.groupBy("shard", "last").agg(F.map_from_entries(F.collect_list(F.struct("peer", "match"))).alias("match_index"))
 
 
-STATUS = B.CMDS + """, lasts AS (SELECT shard, count(*) AS last FROM cmds GROUP BY shard),
-status AS (SELECT l.shard, l.last, concat('n', s_suppkey % 3 + 1) AS peer, l.last - s_suppkey * 37 % 100 AS match FROM lasts l JOIN supplier ON s_suppkey < 9 AND s_suppkey // 3 = l.shard)"""
+STATUS = B.CMDS + f""", lasts AS (SELECT shard, count(*) AS last FROM cmds GROUP BY shard),
+status AS (SELECT l.shard, l.last, concat('n', p % 3 + 1) AS peer, l.last - p * 37 % 100 AS match FROM lasts l JOIN range({PEERS}) peers(p) ON p // 3 = l.shard)"""
 
 
 def quorum_commit_index(spark, sf):
@@ -256,12 +262,40 @@ add("split_brain_check", split_brain_check, "SELECT o_orderkey % 3000 AS term, c
 
 
 def vote_eligibility(spark, sf):
-    """Candidates whose log is as new as each replica's: the later term, then the longer log."""
+    """Candidates whose log is as new as each replica's: the later term, then the longer log.
+
+    A candidate's log ends somewhere in the leader's, some of them past it.
+    """
     tip = replica_log(spark, sf).groupBy("replica").agg(F.max(F.struct("term", "idx")).alias("tip"))
-    candidates = table(spark, sf, "customer").where(F.col("c_custkey") < 40).select("c_custkey", (1 + F.col("c_custkey") % 5).alias("term"), (F.col("c_custkey") * 53).alias("idx"))
-    # replicas are a handful of rows
-    return candidates.crossJoin(F.broadcast(tip)).select("c_custkey", "replica", X.up_to_date(F.col("term"), F.col("idx"), F.col("tip.term"), F.col("tip.idx")).alias("eligible"))
+    last = table(spark, sf, "events").agg(F.max("event_id") + 501).scalar()
+    idx = 1 + F.col("c_custkey") * 53 % last
+    candidates = table(spark, sf, "customer").select("c_custkey", (1 + F.floor(idx / 500)).alias("term"), idx.alias("idx"))
+    asked = candidates.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(REPLICAS - 1))))
+    # one row a replica
+    return asked.join(F.broadcast(tip), "replica").select("c_custkey", "replica", X.up_to_date(F.col("term"), F.col("idx"), F.col("tip.term"), F.col("tip.idx")).alias("eligible"))
+
+
+add("vote_eligibility", vote_eligibility, sql(REPLICA, """SELECT c_custkey, replica, (1 + c.idx // 500, c.idx) >= (t.term, t.idx) AS eligible FROM
+(SELECT c_custkey, 1 + c_custkey * 53 % (SELECT max(event_id) + 501 FROM events) AS idx FROM customer) c,
+(SELECT replica, max(term) AS term, max(idx) FILTER (WHERE term = m) AS idx FROM (SELECT *, max(term) OVER (PARTITION BY replica) AS m FROM replica_log) GROUP BY replica) t"""))
+
+ROUND = 5
+
+
+def commit_advance(spark, sf):
+    """A leader's commit index after each round of replies: the index that a quorum holds, if it is
+    beyond the old one and its entry is of the leader's own term; else the old one.
+
+    Five replies make a round, the leader's term and the old commit index go with it.
+    """
+    r, e = F.col("round"), F.col("event_id")
+    replies = B.raw(spark, sf).select(F.floor(e / ROUND).alias("round"), (F.floor(e / ROUND) * 3 + F.col("k") * 4).alias("match"))
+    rounds = replies.groupBy("round").agg(L.quorum_index(F.collect_list("match")).alias("candidate"))
+    old, own = r * 3 + 150, 1 + F.floor((r * 3 + 200) / 400)
+    judged = rounds.select("round", old.alias("old"), "candidate", (1 + F.floor(F.col("candidate") / 400)).alias("entry_term"), own.alias("own_term"))
+    return judged.withColumn("commit", L.advanced_commit(F.col("candidate"), F.col("old"), F.col("entry_term"), F.col("own_term")))
 
 
-add("vote_eligibility", vote_eligibility, sql(REPLICA, """SELECT c_custkey, replica, (1 + c_custkey % 5, c_custkey * 53) >= (t.term, t.idx) AS eligible FROM customer,
-(SELECT replica, max(term) AS term, max(idx) FILTER (WHERE term = m) AS idx FROM (SELECT *, max(term) OVER (PARTITION BY replica) AS m FROM replica_log) GROUP BY replica) t WHERE c_custkey < 40"""))
+add("commit_advance", commit_advance, sql(B.RAW, f"""SELECT *, CASE WHEN candidate > old AND entry_term = own_term THEN candidate ELSE old END AS commit FROM (
+SELECT round, round * 3 + 150 AS old, candidate, 1 + candidate // 400 AS entry_term, 1 + (round * 3 + 200) // 400 AS own_term FROM (
+SELECT event_id // {ROUND} AS round, list_sort(list(event_id // {ROUND} * 3 + k * 4))[count(*) - (count(*) // 2 + 1) + 1] AS candidate FROM raw GROUP BY 1))"""))

@@ -19,49 +19,69 @@ def add(name, query, oracle=None):
 
 
 def bodies(spark, sf):
-    """Write requests made from parts; some bodies are no JSON, some have no policy or request id."""
-    p = table(spark, sf, "part")
-    policy = F.when(F.col("p_size") % 4 != 3, F.concat(F.lit(',"cache_policy":{"cacheable":'), F.when(F.col("p_size") % 2 == 1, "true").otherwise("false"), F.lit(',"ttl_seconds":'), F.col("p_size") * 10 % 370, F.lit("}"))).otherwise("")
-    request = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(',"request_id":"b-'), F.col("p_partkey"), F.lit('"'))).otherwise("")
-    body = F.when(F.col("p_partkey") % 41 == 0, "{not json").otherwise(F.concat(F.lit('{"value":"'), F.col("p_name"), F.lit('"'), request, policy, F.lit("}")))
-    key = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("config:"), F.col("p_brand"))).otherwise(F.concat(F.lit("task:"), F.col("p_brand")))
-    header = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("h-"), F.col("p_partkey"))).otherwise("")
-    return p.select("p_partkey", key.alias("key"), body.alias("body"), header.alias("header_id"))
-
+    """Write requests made from parts: key, body, request id header and expected version.
 
-BODIES = """bodies AS (SELECT p_partkey, p_name, p_size, CASE WHEN p_partkey % 2 = 0 THEN 'config:' ELSE 'task:' END || p_brand AS key,
- p_partkey % 41 = 0 AS broken, CASE WHEN p_size % 4 <> 3 THEN p_size % 2 = 1 END AS cacheable, CASE WHEN p_size % 4 <> 3 THEN p_size * 10 % 370 END AS ttl,
- CASE WHEN p_partkey % 5 = 0 THEN 'b-' || p_partkey ELSE '' END AS body_id, CASE WHEN p_partkey % 3 = 0 THEN 'h-' || p_partkey ELSE '' END AS header_id FROM part)"""
+    Some bodies are no JSON, lack the value or hold one that is no text, have no policy or request
+    id, or are over the limit; some expected versions are no whole numbers.
+    """
+    p, i = table(spark, sf, "part"), F.col("p_partkey")
+    policy = F.when(F.col("p_size") % 4 != 3, F.concat(F.lit(',"cache_policy":{"cacheable":'), F.when(F.col("p_size") % 2 == 1, "true").otherwise("false"), F.lit(',"ttl_seconds":'), F.col("p_size") * 10 % 370, F.lit("}"))).otherwise("")
+    request = F.when(i % 5 == 0, F.concat(F.lit(',"request_id":"b-'), i, F.lit('"'))).otherwise("")
+    text = F.when(i % 97 == 5, F.rpad("p_name", MAX_BODY, "x")).otherwise(F.col("p_name"))
+    value = F.when(i % 29 == 0, '"none":0').when(i % 31 == 0, '"value":5').when(i % 37 == 0, '"value":null').otherwise(F.concat(F.lit('"value":"'), text, F.lit('"')))
+    body = F.when(i % 41 == 0, "{not json").when(i % 43 == 0, "{}").otherwise(F.concat(F.lit("{"), value, request, policy, F.lit("}")))
+    key = F.when(i % 2 == 0, F.concat(F.lit("config:"), F.col("p_brand"))).otherwise(F.concat(F.lit("task:"), F.col("p_brand")))
+    header = F.when(i % 3 == 0, F.concat(F.lit("h-"), i)).otherwise("")
+    expected = F.when(i % 23 == 0, "-1").when(i % 19 == 0, "two").when(i % 7 == 0, (i % 5).cast("string")).otherwise("")
+    return p.select("p_partkey", key.alias("key"), body.alias("body"), header.alias("header_id"), expected.alias("expected"))
+
+
+BODIES = f"""bodies AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 2 = 0 THEN 'config:' ELSE 'task:' END || p_brand AS key,
+ p_partkey % 41 = 0 AS broken, p_partkey % 41 <> 0 AND p_partkey % 43 = 0 AS bare, p_partkey % 97 = 5 AND p_partkey % 41 <> 0 AND p_partkey % 43 <> 0 AND p_partkey % 29 <> 0 AND p_partkey % 31 <> 0 AND p_partkey % 37 <> 0 AS huge,
+ p_partkey % 29 <> 0 AND p_partkey % 31 = 0 AND p_partkey % 41 <> 0 AND p_partkey % 43 <> 0 AS no_text,
+ CASE WHEN p_partkey % 43 = 0 OR p_partkey % 29 = 0 OR p_partkey % 37 = 0 THEN '' ELSE p_name END AS text,
+ CASE WHEN p_partkey % 43 <> 0 AND p_size % 4 <> 3 THEN p_size % 2 = 1 END AS cacheable, CASE WHEN p_partkey % 43 <> 0 AND p_size % 4 <> 3 THEN p_size * 10 % 370 END AS ttl,
+ CASE WHEN p_partkey % 43 <> 0 AND p_partkey % 5 = 0 THEN 'b-' || p_partkey ELSE '' END AS body_id, CASE WHEN p_partkey % 3 = 0 THEN 'h-' || p_partkey ELSE '' END AS header_id,
+ CASE WHEN p_partkey % 23 = 0 THEN '-1' WHEN p_partkey % 19 = 0 THEN 'two' WHEN p_partkey % 7 = 0 THEN CAST(p_partkey % 5 AS VARCHAR) ELSE '' END AS expected FROM part),
+answers AS (SELECT *, CASE WHEN huge THEN '413 body_too_large' WHEN broken OR no_text THEN '400 bad_json' WHEN expected IN ('-1', 'two') THEN '400 bad_expected_version'
+ WHEN coalesce(cacheable, false) AND NOT key LIKE 'config:%' THEN '400 namespace_not_cacheable' ELSE 'accepted' END AS answer FROM bodies)"""
+
+
+def answered(spark, sf):
+    """Every request with its parsed body and the answer, in the order in which a server checks."""
+    kind = F.expr("schema_of_variant(variant_get(try_parse_json(body), '$.value', 'variant'))")
+    j = F.when(F.coalesce(kind, F.lit("VOID")).isin("STRING", "VOID"), F.from_json("body", BODY_SCHEMA))
+    number = F.coalesce(F.regexp_like("expected", F.lit("^[0-9]+$")), F.lit(False))
+    answer = (
+        F.when(F.octet_length("body") > MAX_BODY, "413 body_too_large")
+        .when(F.expr("try_parse_json(body)").isNull() | F.col("j").isNull(), "400 bad_json")
+        .when((F.col("expected") != "") & ~number, "400 bad_expected_version")
+        .when(F.coalesce("j.cache_policy.cacheable", F.lit(False)) & ~X.in_namespaces("key", B.NAMESPACES), "400 namespace_not_cacheable")
+        .otherwise("accepted")
+    )
+    return bodies(spark, sf).withColumn("j", j).withColumn("answer", answer)
 
 
 def parse_put_bodies(spark, sf):
-    """Bodies as commands: body id before header id before one made from the row."""
-    parsed = bodies(spark, sf).where(F.octet_length("body") <= MAX_BODY).withColumn("j", F.from_json("body", BODY_SCHEMA)).where("j.value IS NOT NULL")
+    """Bodies as commands: a missing value is empty; body id before header id before one made from the row."""
     request = X.first_non_empty("j.request_id", "header_id", F.concat(F.lit("auto-"), F.col("p_partkey")))
-    return parsed.select(
-        "p_partkey", "key", F.col("j.value").alias("value"), request.alias("request_id"),
+    return answered(spark, sf).where("answer = 'accepted'").select(
+        "p_partkey", "key", F.coalesce("j.value", F.lit("")).alias("value"), request.alias("request_id"),
         F.coalesce("j.cache_policy.cacheable", F.lit(False)).alias("cacheable"), X.clamp_ttl("j.cache_policy.ttl_seconds").alias("ttl"),
+        (F.col("expected") != "").alias("has_expected"), F.coalesce(F.col("expected").try_cast("bigint"), F.lit(0)).alias("expected"),
     )
 
 
 _CLAMP = "CASE WHEN coalesce(ttl, 0) = 0 THEN 30 ELSE least(greatest(ttl, 1), 300) END"
-add("parse_put_bodies", parse_put_bodies, sql(BODIES, f"""SELECT p_partkey, key, p_name AS value, coalesce(nullif(body_id, ''), nullif(header_id, ''), 'auto-' || p_partkey) AS request_id,
-coalesce(cacheable, false) AS cacheable, CAST({_CLAMP} AS INTEGER) AS ttl FROM bodies WHERE NOT broken"""))
+add("parse_put_bodies", parse_put_bodies, sql(BODIES, f"""SELECT p_partkey, key, text AS value, coalesce(nullif(body_id, ''), nullif(header_id, ''), 'auto-' || p_partkey) AS request_id,
+coalesce(cacheable, false) AS cacheable, CAST({_CLAMP} AS INTEGER) AS ttl, expected <> '' AS has_expected, CASE WHEN expected = '' THEN 0 ELSE CAST(expected AS BIGINT) END AS expected FROM answers WHERE answer = 'accepted'"""))
 
 
 def put_validation(spark, sf):
-    j = bodies(spark, sf).withColumn("j", F.from_json("body", BODY_SCHEMA))
-    code = (
-        F.when(F.octet_length("body") > MAX_BODY, "413 too_large")
-        .when(F.col("j.value").isNull(), "400 bad_json")
-        .when(F.coalesce("j.cache_policy.cacheable", F.lit(False)) & ~X.in_namespaces("key", B.NAMESPACES), "400 namespace_not_cacheable")
-        .otherwise("accepted")
-    )
-    return j.groupBy(code.alias("answer")).agg(F.count("*").alias("n"))
+    return answered(spark, sf).groupBy("answer").agg(F.count("*").alias("n"))
 
 
-add("put_validation", put_validation, sql(BODIES, """SELECT CASE WHEN broken THEN '400 bad_json' WHEN coalesce(cacheable, false) AND NOT key LIKE 'config:%' THEN '400 namespace_not_cacheable' ELSE 'accepted' END AS answer,
-count(*) AS n FROM bodies GROUP BY 1"""))
+add("put_validation", put_validation, sql(BODIES, "SELECT answer, count(*) AS n FROM answers GROUP BY answer"))
 
 
 def ttl_clamp(spark, sf):
@@ -184,11 +204,14 @@ add("preferred_leaders", preferred_leaders, sql(B.CMDS, "SELECT DISTINCT shard,
 
 
 def leader_urls(spark, sf):
-    peers = table(spark, sf, "nation").where(F.col("n_nationkey") < 3).select(F.concat(F.lit("n"), F.col("n_nationkey") + 1).alias("leader"), F.concat(F.lit("http://"), F.lower("n_name")).alias("url"))
+    """The address that each leader announced last; every nation is an announcement of some node."""
+    n = F.col("n_nationkey")
+    peers = table(spark, sf, "nation").groupBy(F.concat(F.lit("n"), n % 4 + 1).alias("leader")).agg(F.concat(F.lit("http://"), F.lower(F.max_by("n_name", n))).alias("url"))
     return preferred_leaders(spark, sf).join(peers, "leader", "left").select("shard", "leader", "url")
 
 
-add("leader_urls", leader_urls, sql(B.CMDS, """SELECT DISTINCT shard, concat('n', shard % 3 + 1) AS leader, 'http://' || lower(n_name) AS url FROM cmds LEFT JOIN nation ON n_nationkey = shard % 3"""))
+add("leader_urls", leader_urls, sql(B.CMDS, """SELECT DISTINCT shard, concat('n', shard % 3 + 1) AS leader, url FROM cmds LEFT JOIN
+(SELECT n_nationkey % 4 AS node, 'http://' || lower(arg_max(n_name, n_nationkey)) AS url FROM nation GROUP BY 1) ON node = shard % 3"""))
 
 
 def route_keys(spark, sf):

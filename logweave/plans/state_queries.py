@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import commands as C
+from ..shared import settle, shared_path
+from ..sources.snapshots import read_snapshot, write_snapshot
 from . import bases as B
 from .bases import sql
 
@@ -124,12 +126,14 @@ add(
     lambda s, d: B.state(s, d).groupBy("shard").agg(F.count_if(~F.col("deleted")).alias("live"), F.count("*").alias("records")),
     sql(B.STATE, "SELECT shard, count(*) FILTER (WHERE NOT deleted) AS live, count(*) AS records FROM state GROUP BY shard"),
 )
-POINT = "task:3:status"
+POINT = "task:1:status"
 
 
 def point_lookup(spark, sf):
-    """One key: only its shard's commands are folded."""
-    own = C.with_anchors(B.cmds(spark, sf).where(F.col("shard") == X.shard_of(F.lit(POINT), B.SHARDS)), B.DEDUP)
+    """One key: only commands that share a request id with its own are deduplicated, and only its own folded."""
+    shard = B.cmds(spark, sf).where(F.col("shard") == X.shard_of(F.lit(POINT), B.SHARDS))
+    ids = shard.where(F.col("key") == POINT).select("request_id").distinct()
+    own = C.with_anchors(shard.join(ids, "request_id", "left_semi"), B.DEDUP)
     return C.live(C.state(C.fold(C.executed(own).where(F.col("key") == POINT)))).select("key", "value", "version", X.etag("version").alias("etag"))
 
 
@@ -139,16 +143,27 @@ HALF = 600
 
 
 def snapshot_restore_roundtrip(spark, sf):
-    """State after a snapshot at a log position and the tail folded on from it."""
-    done = B.anchored(spark, sf)
-    first = C.state(C.fold(C.executed(done).where(F.col("log_index") <= HALF)))
-    tail = C.resume(first, C.executed(done).where(F.col("log_index") > HALF))
+    """State after a snapshot at a log position, written and read back, and the tail folded on from it.
+
+    The tail is deduplicated by the requests that the snapshot remembers: what it executed before is
+    not executed again.
+    """
+    path = shared_path(spark, "snapshot")
+    log = settle(B.cmds(spark, sf), "commands")
+    head = settle(C.with_anchors(log.where(F.col("log_index") <= HALF), B.DEDUP), "anchored")
+    write_snapshot(C.state(C.fold(C.executed(head))), head, path, HALF, B.DEDUP)
+    first, remembered = read_snapshot(spark, path)
+    # remembered requests stand at their own positions, so windows that began before the snapshot go on
+    old = remembered.select("shard", "request_id", F.col("anchor").alias("log_index"), F.lit(True).alias("_old"))
+    both = log.where(F.col("log_index") > HALF).withColumn("_old", F.lit(False)).unionByName(old, allowMissingColumns=True)
+    rest = C.with_anchors(both, B.DEDUP).where(~F.col("_old")).drop("_old")
+    tail = C.resume(first, C.executed(rest))
     new = C.state(tail).select("shard", "key", F.struct("value", "version", "deleted", "cacheable", "ttl", "updated_ms").alias("n"))
     # a key that the tail deletes keeps its restored policy
-    both = first.join(new, ["shard", "key"], "full")
+    merged = first.join(new, ["shard", "key"], "full")
     pick = lambda c: F.when(F.col("n").isNull(), F.col(c)).otherwise(F.col(f"n.{c}"))
     keep = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(c))
-    return both.select("shard", "key", *[(keep(c) if c in ("cacheable", "ttl") else pick(c)).alias(c) for c in ("value", "version", "deleted", "cacheable", "ttl", "updated_ms")])
+    return merged.select("shard", "key", *[(keep(c) if c in ("cacheable", "ttl") else pick(c)).alias(c) for c in ("value", "version", "deleted", "cacheable", "ttl", "updated_ms")])
 
 
 add("snapshot_restore_roundtrip", snapshot_restore_roundtrip, sql(B.STATE, f"SELECT {_STATE} FROM state"))

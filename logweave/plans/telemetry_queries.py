@@ -161,3 +161,81 @@ def parse_prometheus(spark, sf):
 
 
 add("parse_prometheus", parse_prometheus, "SELECT 'requests_total' AS name, o_orderpriority AS priority, o_orderstatus AS status, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 2, 3")
+
+
+def number_sql(n: str, scale: str) -> str:
+    """The text of ``n * 10^scale`` for a positive whole number, by whole-number arithmetic alone."""
+    digits, e = f"rtrim(CAST({n} AS VARCHAR), '0')", f"(length(CAST({n} AS VARCHAR)) - 1 + ({scale}))"
+    return f"""CASE WHEN {e} >= length({digits}) - 1 AND {e} < 15 THEN rpad({digits}, CAST({e} + 1 AS INTEGER), '0')
+ WHEN {e} < -4 OR {e} >= 6 THEN left({digits}, 1) || CASE WHEN length({digits}) > 1 THEN '.' || substr({digits}, 2) ELSE '' END || 'e' || CASE WHEN {e} < 0 THEN '-' ELSE '+' END || lpad(CAST(abs({e}) AS VARCHAR), CAST(greatest(2, length(CAST(abs({e}) AS VARCHAR))) AS INTEGER), '0')
+ WHEN {e} < 0 THEN '0.' || repeat('0', CAST(-{e} - 1 AS INTEGER)) || {digits} ELSE left({digits}, CAST({e} + 1 AS INTEGER)) || '.' || substr({digits}, CAST({e} + 2 AS INTEGER)) END"""
+
+
+def metric_numbers(spark, sf):
+    """Numbers of all sizes in text form."""
+    n, scale = F.col("o_orderkey") % 9973 + 1, F.col("o_custkey") % 29 - 9
+    rows = table(spark, sf, "orders").select("o_orderkey", F.concat(n, F.lit("e"), scale).try_cast("double").alias("v"))
+    return rows.select("o_orderkey", X.metric_number("v").alias("text"))
+
+
+add("metric_numbers", metric_numbers, f"SELECT o_orderkey, {number_sql('n', 'scale')} AS text FROM (SELECT o_orderkey, o_orderkey % 9973 + 1 AS n, o_custkey % 29 - 9 AS scale FROM orders)")
+
+
+def sample_durations(spark, sf):
+    """Milliseconds of calls from their nanoseconds."""
+    nanos = F.col("event_id") * 7919 + F.col("k") * 1_000_003
+    return B.raw(spark, sf).select("event_id", X.duration_ms(nanos).alias("ms"))
+
+
+add("sample_durations", sample_durations, sql(B.RAW, "SELECT event_id, ((event_id * 7919 + k * 1000003) // 1000) / 1000.0::DOUBLE AS ms FROM raw"))
+
+HELP = {"request_seconds": "Time to answer.", "requests_total": "Requests by operation and code.", "shard_is_leader": "1 where this node leads.", "unused": "No series."}
+_SUFFIX = "(_bucket|_sum|_count)$"
+
+
+def exposition(lines, texts: dict[str, str] = HELP):
+    """``line`` and its place ``(first, place)``: sorted lines, and each family's help before its first."""
+    family = F.regexp_replace(F.regexp_extract("line", r"^([^{ ]+)", 1), _SUFFIX, "")
+    named = lines.withColumn("family", family)
+    texts = F.create_map(*[F.lit(x) for pair in texts.items() for x in pair])
+    heads = named.groupBy("family").agg(F.min("line").alias("first")).withColumn("text", F.element_at(texts, F.col("family"))).where("text IS NOT NULL")
+    heads = heads.select("first", F.lit(0).alias("place"), F.concat(F.lit("# HELP "), "family", F.lit(" "), "text").alias("line"))
+    return heads.unionByName(named.select(F.col("line").alias("first"), F.lit(1).alias("place"), "line"))
+
+
+def histogram_lines(cumulative, sums, name: str):
+    """``_bucket``, ``_sum`` and ``_count`` lines of ``cumulative(op, le, cumulative)`` and ``sums(op, total)``."""
+    le = X.label_value(F.when(F.col("le") == float("inf"), "+Inf").otherwise(X.metric_number("le")))
+    op = F.concat(F.lit("op="), X.label_value("op"))
+    buckets = cumulative.select(F.concat(F.lit(f"{name}_bucket{{"), op, F.lit(",le="), le, F.lit("} "), F.col("cumulative").cast("string")).alias("line"))
+    counts = cumulative.where(F.col("le") == float("inf")).select(F.concat(F.lit(f"{name}_count{{"), op, F.lit("} "), F.col("cumulative").cast("string")).alias("line"))
+    totals = sums.select(F.concat(F.lit(f"{name}_sum{{"), op, F.lit("} "), X.metric_number("total")).alias("line"))
+    return buckets.unionByName(counts).unionByName(totals)
+
+
+def metrics_exposition(spark, sf):
+    """Counters, gauges and histograms of the samples as one text, help lines included."""
+    counters = CATALOG["request_counters"][0](spark, sf)
+    labels = F.create_map(F.lit("op"), F.col("op"), F.lit("code"), F.col("code").cast("string"))
+    counters = counters.select(F.concat(X.series_key(F.lit("requests_total"), labels), F.lit(" "), F.col("n").cast("string")).alias("line"))
+    shards = B.unplaced(spark, sf).select("shard").distinct()
+    leads = F.create_map(F.lit("shard"), F.col("shard").cast("string"))
+    gauges = shards.select(F.concat(X.series_key(F.lit("shard_is_leader"), leads), F.lit(" "), X.metric_number(X.bool_gauge(F.col("shard") % 2 == 0))).alias("line"))
+    # summed in whole microseconds: the same in every order
+    sums = samples(spark, sf).groupBy("op").agg((F.sum(F.floor(F.col("ms") * 1000)) / 1e6).alias("total"))
+    made = counters.unionByName(gauges).unionByName(histogram_lines(histogram_cumulative(spark, sf), sums, "request_seconds"))
+    return exposition(made).orderBy("first", "place")
+
+
+_BOUND_TEXT = f"CASE WHEN le = CAST('Infinity' AS DOUBLE) THEN '+Inf' WHEN le >= 1 AND le = floor(le) THEN CAST(CAST(le AS BIGINT) AS VARCHAR) ELSE CAST(le AS VARCHAR) END"
+_HELP_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in HELP.items())
+add("metrics_exposition", metrics_exposition, sql(_HIST + f""", bounds AS (SELECT DISTINCT op, b.le FROM placed, (SELECT CAST(b AS DOUBLE) AS le FROM (VALUES {_BOUNDS}) v(b) UNION ALL SELECT CAST('Infinity' AS DOUBLE)) b),
+upto AS (SELECT b.op, b.le, count(p.op) AS n FROM bounds b LEFT JOIN placed p ON p.op = b.op AND p.le <= b.le GROUP BY b.op, b.le),
+totals AS (SELECT op, CAST(sum(CAST(floor(ms * 1000) AS BIGINT)) AS BIGINT) AS n FROM samples GROUP BY op),
+lines AS (SELECT concat('requests_total{{code="', CASE WHEN error THEN 503 ELSE 200 END, '",op="', op, '"}} ', count(*)) AS line FROM samples GROUP BY op, error
+ UNION ALL SELECT DISTINCT concat('shard_is_leader{{shard="', shard, '"}} ', 1 - shard % 2) FROM (SELECT CAST({B.fnv_sql("key")} % {B.SHARDS} AS INTEGER) AS shard FROM (SELECT DISTINCT CASE WHEN user_id % 5 = 0 THEN concat('config:item:', user_id % 40) ELSE concat('task:', user_id % 13, ':status') END AS key FROM raw WHERE event_type <> 'view'))
+ UNION ALL SELECT concat('request_seconds_bucket{{op="', op, '",le="', {_BOUND_TEXT}, '"}} ', n) FROM upto
+ UNION ALL SELECT concat('request_seconds_count{{op="', op, '"}} ', n) FROM upto WHERE le = CAST('Infinity' AS DOUBLE)
+ UNION ALL SELECT concat('request_seconds_sum{{op="', op, '"}} ', {number_sql("n", "-6")}) FROM totals),
+named AS (SELECT line, regexp_replace(regexp_extract(line, '^([^{{ ]+)', 1), '(_bucket|_sum|_count)$', '') AS family FROM lines)""",
+    f"SELECT line AS first, 1 AS place, line FROM lines UNION ALL SELECT min(line), 0, '# HELP ' || family || ' ' || text FROM named JOIN (VALUES {_HELP_VALUES}) h(name, text) ON name = family GROUP BY family, text"))

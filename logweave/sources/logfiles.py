@@ -10,11 +10,14 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.logs import replay
+from ..shared import make_folder, write_whole
 
 # File formats.
 SNAPSHOT_MAGIC = b"EKVSNAP1"
@@ -25,44 +28,101 @@ SEGMENT_NAME = r"^([0-9a-f]{16})-([0-9a-f]{16})$"
 CASTAGNOLI = 0x82F63B78
 
 
-def _crc_table() -> list[int]:
-    out = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ CASTAGNOLI if n & 1 else n >> 1
-        out.append(n)
+def _crc_table() -> np.ndarray:
+    """CRC register after one byte, for each value of the byte and a register of zeros."""
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, out >> 1 ^ np.uint32(CASTAGNOLI), out >> 1).astype(np.uint32)
     return out
 
 
 _TABLE = _crc_table()
+#: Longer messages are summed in lanes of so many bytes, side by side.
+LANE = 512
+
+
+def _registers(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Registers after each message, all messages a byte further at a time."""
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths, crc = starts[order], lengths[order], first[order].copy()
+    # so many messages are longer than j
+    longer = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
+    for j, n in enumerate(longer.tolist()):
+        crc[:n] = _TABLE[(crc[:n] ^ data[starts[:n] + j]) & 0xFF] ^ crc[:n] >> 8
+    out = np.empty_like(crc)
+    out[order] = crc
+    return out
+
+
+def _shift_tables() -> list[list[int]]:
+    """What LANE bytes of zeros do to a register, by each of its four bytes (the map is linear)."""
+    bits = _registers(np.zeros(LANE, np.uint8), np.zeros(32, np.int64), np.full(32, LANE), np.uint32(1) << np.arange(32, dtype=np.uint32)).tolist()
+    tables = []
+    for k in range(4):
+        row = [0]
+        for i in range(8):
+            row += [x ^ bits[8 * k + i] for x in row]
+        tables.append(row)
+    return tables
+
+
+_SHIFT = _shift_tables()
+
+
+def crc32c_many(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """CRC-32C of each stretch of ``data``, in numpy: stretches, and lanes of long ones, side by side."""
+    starts, lengths = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
+    head = np.where(lengths > LANE, (lengths - 1) % LANE + 1, lengths)  # the rest are whole lanes
+    out = _registers(data, starts, head, np.full(len(starts), 0xFFFFFFFF, np.uint32))
+    lanes = (lengths - head) // LANE
+    if lanes.any():
+        at = np.concatenate([s + LANE * np.arange(n) for s, n in zip((starts + head).tolist(), lanes.tolist())]).astype(np.int64)
+        made = iter(_registers(data, at, np.full(len(at), LANE), np.zeros(len(at), np.uint32)).tolist())
+        a, b, c, d = _SHIFT
+        for i in np.flatnonzero(lanes).tolist():
+            x = int(out[i])
+            for _ in range(int(lanes[i])):
+                x = a[x & 255] ^ b[x >> 8 & 255] ^ c[x >> 16 & 255] ^ d[x >> 24] ^ next(made)
+            out[i] = x
+    return out ^ np.uint32(0xFFFFFFFF)
+
 
+def crc32c(data: bytes) -> int:
+    return int(crc32c_many(np.frombuffer(data, np.uint8), np.zeros(1, np.int64), np.array([len(data)]))[0])
 
-def crc32c(data: bytes, crc: int = 0) -> int:
-    crc ^= 0xFFFFFFFF
-    table = _TABLE
-    for b in data:
-        crc = table[(crc ^ b) & 0xFF] ^ crc >> 8
-    return crc ^ 0xFFFFFFFF
+
+def framed(records: list[tuple[int, bytes]]) -> bytes:
+    """(type, data) records as they stand in a file."""
+    bodies = [bytes([kind]) + data for kind, data in records]
+    lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    sums = crc32c_many(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum(lengths) - lengths, lengths).tolist() if bodies else []
+    return b"".join(HEADER.pack(len(data), crc, kind) + data for (kind, data), crc in zip(records, sums))
 
 
 def frame(kind: int, data: bytes) -> bytes:
-    return HEADER.pack(len(data), crc32c(bytes([kind]) + data), kind) + data
+    return framed([(kind, data)])
 
 
 def frames(body: bytes) -> Iterator[tuple[int, int, bytes | None]]:
     """(offset, type, data) of each sound record; a torn or damaged tail gives (offset, -1, None)."""
-    at = 0
-    while at < len(body):
-        if len(body) - at < HEADER.size:
-            yield at, -1, None
-            return
+    found, at = [], 0
+    while len(body) - at >= HEADER.size:
         length, crc, kind = HEADER.unpack_from(body, at)
-        data = body[at + HEADER.size : at + HEADER.size + length]
-        if length > MAX_RECORD or len(data) < length or crc32c(bytes([kind]) + data) != crc:
-            yield at, -1, None
-            return
-        yield at, kind, data
+        if length > MAX_RECORD or len(body) - at - HEADER.size < length:
+            break
+        found.append((at, length, crc, kind))
         at += HEADER.size + length
+    if found:
+        starts, lengths, sums, _ = map(np.array, zip(*found))
+        # the type stands right before the data, and both are summed
+        sound = crc32c_many(np.frombuffer(body, np.uint8), starts + HEADER.size - 1, lengths + 1) == sums.astype(np.uint32)
+        for (offset, length, _, kind), good in zip(found, sound.tolist()):
+            if not good:
+                yield offset, -1, None
+                return
+            yield offset, kind, body[offset + HEADER.size : offset + HEADER.size + length]
+    if at < len(body):
+        yield at, -1, None
 
 
 def segment_name(seq: int, tag: int) -> str:
@@ -146,7 +206,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind < 0:
                     # the tail of the last segment may be torn by a crash, any other place may not
                     if not last:
-                        raise ValueError(f"corrupt record in the middle of the log: {path} offset {offset}")
+                        raise ValueError(f"record at byte {offset} of {path} does not match its checksum")
                     break
                 rows.append((seq, tag, path, offset, kind, data))
             columns = list(zip(*rows)) or [[]] * 6
@@ -166,7 +226,7 @@ def segments(spark: SparkSession, folder: str) -> list[tuple[int, int, str, int]
         name = f.getPath().getName()
         if name.endswith(".wal"):
             if (m := re.match(SEGMENT_NAME, name.removesuffix(".wal"))) is None:
-                raise ValueError(f"unexpected file {name}")
+                raise ValueError(f"{name} is not named like a segment")
             out.append((int(m[1], 16), int(m[2], 16), f.getPath().toString(), f.getLen()))
     return sorted(out)
 
@@ -228,18 +288,81 @@ def load_log(spark: SparkSession, folder: str, snapshot_index: int = 0, min_seq:
     # a replay leaves indexes that grow, so they are contiguous if there are as many as the last says
     n = kept.agg(F.count("*").alias("n"), F.max("idx").alias("last")).first()
     if n.n and n.last - snapshot_index != n.n:
-        raise ValueError(f"gap in log: {n.n} entries after {snapshot_index}, the last is {n.last}")
+        raise ValueError(f"entries are missing: {n.n} follow index {snapshot_index}, yet the last has index {n.last}")
     return kept.select("idx", "term", "entry_type", "payload"), hard
 
 
+def write_segments(records: DataFrame, folder: str) -> DataFrame:
+    """Write ``records(seq, pos, tag, type, data)`` as a segment file for each ``seq``, records by ``pos``.
+
+    Returns ``seq, path, bytes`` of the files.  A segment is one task's at a time and bounded by the
+    caller's rotation; files appear when complete, so a task that is run again replaces its own.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_folder(folder)
+        attempt = TaskContext.get().taskAttemptId()
+        key, held = None, []
+        out: list[tuple[int, str, int]] = []
+
+        def close() -> None:
+            if key is not None:
+                path, body = f"{folder}/{segment_name(*key)}", framed(held)
+                write_whole(path, body, attempt)
+                out.append((key[0], path, len(body)))
+
+        for batch in batches:
+            for seq, tag, kind, data in zip(*[c.to_pylist() for c in batch.columns]):
+                if key is None or seq != key[0]:
+                    close()
+                    key, held = (seq, tag), []
+                held.append((kind, data))
+        close()
+        columns = list(zip(*out)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64()))], ["seq", "path", "bytes"])
+
+    rows = records.repartition("seq").sortWithinPartitions("seq", "pos").select("seq", "tag", "type", "data")
+    return rows.mapInArrow(write, "seq long, path string, bytes long")
+
+
+def entry_bytes(idx: int, term: int, payload: bytes, noop: bool = False) -> bytes:
+    return encode_message([(1, idx), (2, term), (3, int(noop)), (4, payload)])
+
+
+def hard_state_bytes(term: int, voted_for: str) -> bytes:
+    return encode_message([(1, term), (2, voted_for)])
+
+
+def snapshot_name(last_index: int, last_term: int) -> str:
+    return f"snap-{last_index:016x}-{last_term:016x}.snap"
+
+
+def write_snapshot_file(folder: str, last_index: int, last_term: int, min_segment: int, data: bytes, attempt: int = 0) -> str:
+    path = f"{folder}/{snapshot_name(last_index, last_term)}"
+    make_folder(folder)
+    write_whole(path, snapshot_bytes(encode_message([(1, last_index), (2, last_term), (3, min_segment)]), data), attempt)
+    return path
+
+
+def snapshot_files(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of a folder's snapshots, the newest last: names of fixed width sort as numbers."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(path)]
+    return [p.toString() for p in sorted(found, key=lambda p: p.getName()) if re.match(r"^snap-.*\.snap$", p.getName())]
+
+
 def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """``path, last_index, last_term, min_segment, data`` of the newest snapshot of a folder.
 
-    A damaged newest snapshot is an error: an older one would forget acknowledged writes.
+    Only that file is opened.  A damaged newest snapshot is an error: an older one would forget
+    acknowledged writes.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "snap-*.snap").load(folder)
-    newest = files.select("path").agg(F.max("path").alias("path"))
-    picked = files.join(F.broadcast(newest), "path").select("path", "content")
+    schema = "path string, last_index long, last_term long, min_segment long, data binary"
+    found = snapshot_files(spark, folder)
+    if not found:
+        return spark.createDataFrame([], schema)
+    picked = spark.read.format("binaryFile").load(found[-1:]).select("path", "content")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +372,7 @@ def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
                 values = [path, f.get(1, 0), f.get(2, 0), f.get(3, 0), data]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["path", "last_index", "last_term", "min_segment", "data"])
 
-    return picked.mapInArrow(parse, "path string, last_index long, last_term long, min_segment long, data binary")
+    return picked.mapInArrow(parse, schema)
 
 
 def encode_command(op: str, key: str, value: bytes = b"", expected: int | None = None, request_id: str = "", cacheable: bool = False, ttl: int = 0, ts_ms: int = 0) -> bytes:

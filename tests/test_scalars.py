@@ -74,3 +74,47 @@ def test_strings(spark):
 def test_logs_compare_by_term_first(spark):
     c = lambda *v: X.up_to_date(*map(F.lit, v))
     assert one(spark, c(2, 1, 1, 9)) and not one(spark, c(1, 9, 2, 1)) and one(spark, c(1, 5, 1, 5)) and not one(spark, c(1, 4, 1, 5))
+
+
+def shortest(v):
+    """Digits and exponent as %g writes the shortest form."""
+    import math
+    from decimal import Decimal
+
+    if math.isnan(v) or math.isinf(v):
+        return "NaN" if math.isnan(v) else "+Inf" if v > 0 else "-Inf"
+    if v == math.trunc(v) and abs(v) < 1e15:
+        return str(int(v))
+    sign, digits, exp = Decimal(repr(abs(v))).normalize().as_tuple()
+    digits, exp = "".join(map(str, digits)), len(digits) + exp - 1
+    if exp < -4 or exp >= 6:
+        out = digits[0] + ("." + digits[1:] if len(digits) > 1 else "") + f"e{'-' if exp < 0 else '+'}{abs(exp):02d}"
+    elif exp < 0:
+        out = "0." + "0" * (-exp - 1) + digits
+    else:
+        out = digits[: exp + 1] + "." + digits[exp + 1 :]
+    return "-" * (v < 0) + out
+
+
+def test_metric_numbers(spark):
+    import random
+
+    from logweave.functions.scalars import metric_number
+
+    rng = random.Random(4)
+    values = [0.0, 1.0, -1.0, 1e15, 1.5e15, 1e14 + 1, 0.0001, 0.00001, 0.00012, 123456.5, 1234567.5, -0.25, 1e300, float("inf"), -float("inf"), float("nan"), 100.25]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randrange(-12, 20) for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", metric_number("v").alias("s")).collect()
+    assert [r.s for r in rows] == [shortest(r.v) for r in rows]
+
+
+def test_http_date_duration_gauge(spark):
+    from email.utils import formatdate
+
+    from logweave.functions.scalars import bool_gauge, duration_ms, http_date, label_value
+
+    times = [0, 1_700_000_000_123, 951_782_400_000, 4_102_444_799_999, 1_709_164_800_000]
+    rows = spark.createDataFrame([(t,) for t in times], "t long").select("t", http_date("t").alias("d")).collect()
+    assert [r.d for r in rows] == [formatdate(r.t // 1000, usegmt=True) for r in rows]
+    row = spark.createDataFrame([(1_234_567, 'a"b\\c\nd', True)], "n long, s string, f boolean").select(duration_ms("n"), label_value("s"), bool_gauge("f")).first()
+    assert tuple(row) == (1.234, '"a\\"b\\\\c\\nd"', 1.0)
