@@ -2,48 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
+from ..shared import purge, remove, settle, shared_dir, shared_path  # noqa: F401  for the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder (one machine, so it is shared)
-    and a cluster the warehouse, never a machine-local folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="logweave-")
-        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-    return f"file://{_local[app]}"
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-
-
 _held: list[str] = []
 _caches: list[Callable[[], None]] = []
 
@@ -69,23 +44,22 @@ def hold(kind: str) -> None:
     _held[:] = [kind]
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage whose Arrow batches are 4 MB at most, unless the session says otherwise.
 
-    This cuts the lineage, keeps a step that is read more than once from running twice, and
-    fixes the rows (and any generated ids) for every later reader, so a lost executor costs
-    only the tasks that it held.
+    By default a batch has up to 64 MB of texts, on both sides of each worker's socket.
     """
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+    @wraps(query)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        if spark.conf.get(_BATCH, None) in ("64MB", "67108864", "67108864b"):
+            spark.conf.set(_BATCH, "4m")
+        return query(spark, *args)
 
-def purge(spark: SparkSession) -> None:
-    """Delete all that this application has settled; frames that read it are of no use afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return run
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, kind: str = "") -> Iterator[pa.RecordBatch]:

@@ -17,9 +17,11 @@ from .common import forgets
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
-#: Pieces kept by a worker before it starts afresh (about 0.2 KB each), and the longest kept.
-KEPT_PIECES = 1_200_000
+#: Bytes of pieces that a worker remembers, about, and the longest piece that it does.
+KEPT_BYTES = 192 << 20
 KEPT_CHARS = 40
+#: What a remembered piece takes: two small objects and a place in a table.
+ENTRY_BYTES = 200
 #: Characters of text that are split at once, so that memory does not follow a text's length.
 BLOCK = 1 << 20
 #: A space between two characters that are not white space: no split sees across it.
@@ -48,21 +50,53 @@ def blocks(text: str, block: int = BLOCK) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+class Memory:
+    """Ids by piece within ``most`` bytes, in two generations.
+
+    When the younger one has filled half of the bytes it becomes the older one, and what was not met
+    again by the time the next has filled up is forgotten.  So frequent pieces stay, rare ones go, and
+    the memory is bounded by bytes: pieces are at most KEPT_CHARS long, and a place counts ENTRY_BYTES.
+    """
+
+    def __init__(self, most: int) -> None:
+        self.most = most // (2 * ENTRY_BYTES)
+        self.young: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def recall(self, piece: str) -> bytes | None:
+        """Ids of a piece that is not in the younger generation; it is from now on."""
+        if (ids := self.older.get(piece)) is not None:
+            self.young[piece] = ids
+        return ids
+
+    def recalled(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The same for many, with those that are remembered."""
+        older = self.older
+        found = {p: older[p] for p in pieces if p in older}
+        self.young.update(found)
+        return found
+
+    def turn(self) -> None:
+        """To be called between texts."""
+        if len(self.young) > self.most:
+            self.older, self.young = self.young, {}
+
+
 class PieceEncoder:
     """``encode(pieces)`` gives the ids of each piece as bytes; ``spaced`` pieces carry their space.
 
     ``marks`` are strings (special tokens) that must not be parted from white space before them.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, marks: Iterable[str] = (), most: int = KEPT_PIECES) -> None:
-        self.encode, self.space, self.marks, self.most = encode, " " * spaced, tuple(marks), most
-        self.kept: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], spaced: bool, marks: Iterable[str] = (), most: int = KEPT_BYTES) -> None:
+        self.encode, self.space, self.marks = encode, " " * spaced, tuple(marks)
+        self.kept = Memory(most)
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces that are not kept; short ones are kept from now on."""
-        made = dict(zip(pieces, self.encode([self.space + p for p in pieces])))
+        made = dict(zip(pieces, self.encode([self.space + p for p in pieces] if self.space else pieces)))
         # pieces across a line end are as good as never seen again
-        self.kept.update((p, ids) for p, ids in made.items() if len(p) <= KEPT_CHARS and "\n" not in p)
+        self.kept.young.update({p: ids for p, ids in made.items() if len(p) <= KEPT_CHARS and "\n" not in p})
         return made
 
     def _risky(self, piece: str) -> bool:
@@ -71,8 +105,7 @@ class PieceEncoder:
 
     def many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text.  All texts together should be a few MB."""
-        if len(self.kept) > self.most:
-            self.kept.clear()
+        self.kept.turn()
         # the first piece of a text has no space before it; later blocks begin with one
         split = [t.split(" ") for t in texts]
         heads = self.encode([s[0] for s in split])
@@ -81,14 +114,13 @@ class PieceEncoder:
         for s in split:
             flat += s[1:]
             ends.append(len(flat))
-        found = list(map(self.kept.get, flat))
+        found = list(map(self.kept.young.get, flat))
         gaps = [i for i, ids in enumerate(found) if ids is None]
-        new = dict.fromkeys([flat[i] for i in gaps])
-        risky = {p for p in new if self._risky(p)} if self.space else ()
-        if not risky:
-            made = self._learn(list(new)) if new else new
-        else:
-            made = self._learn([p for p in new if p not in risky])
+        missing = dict.fromkeys([flat[i] for i in gaps])
+        made = self.kept.recalled(missing) if self.kept.older else {}
+        new = [p for p in missing if p not in made] if made else list(missing)
+        risky = {p for p in new if self._risky(p)} if self.space else set()
+        made |= self._learn([p for p in new if p not in risky] if risky else new)
         for i in gaps:
             found[i] = made.get(flat[i])
         out = [h + b"".join(found[a:b]) if not risky or None not in found[a:b] else None for h, a, b in zip(heads, [0, *ends], ends)]
@@ -96,8 +128,9 @@ class PieceEncoder:
             for i, ids in enumerate(out):
                 if ids is None:
                     head, *rest = _SAFE.split(texts[i])
-                    whole = self._learn([p for p in dict.fromkeys(rest) if p not in self.kept])
-                    out[i] = self.encode([head])[0] + b"".join([whole[p] if p in whole else self.kept[p] for p in rest])
+                    known = {p: ids for p in dict.fromkeys(rest) if (ids := self.kept.young.get(p)) is not None}
+                    known |= self._learn([p for p in dict.fromkeys(rest) if p not in known])
+                    out[i] = self.encode([head])[0] + b"".join(map(known.__getitem__, rest))
         return out
 
     def texts(self, texts: list[str | None], budget: int = BLOCK) -> Iterator[bytes]:
@@ -137,7 +170,7 @@ class LibraryWords:
     model; all others, and special tokens, go through the library whole.
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = KEPT_PIECES) -> None:
+    def __init__(self, path: str, spaced: bool, most: int = KEPT_BYTES // 4) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -147,15 +180,16 @@ class LibraryWords:
         t.no_padding()
         t.no_truncation()
         self.marks = tuple(x.content for x in t.get_added_tokens_decoder().values())
-        self.spaced, self.most = spaced, most
+        self.spaced = spaced
         pattern = public_tokenizers.PATTERN
         if not spaced:  # the lower-casing vocabulary drops white space and takes digits one by one
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
         self.split = regex.compile(pattern).findall
         self.model = t.model.tokenize
         self.bytes = str.maketrans({chr(b): c for c, b in byte_chars().items()})
-        self.kept: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {} if spaced else self.kept
+        self.kept = Memory(most)
+        #: words after a space, without it: the pieces of an encoder of spaced pieces
+        self.known = Memory(most) if spaced else self.kept
         self.stops = {c: self._word(c) for c in ",."}
         self.line = b"".join(map(self._word, self.split(".\n")))
 
@@ -165,17 +199,16 @@ class LibraryWords:
     def _of(self, word: str) -> bytes:
         """Ids of one word: those with a space are kept among the pieces, without it."""
         kept, key = (self.known, word[1:]) if self.spaced and word[0] == " " else (self.kept, word)
-        if key in kept:
-            return kept[key]
-        made = self._word(word)
-        if len(key) <= KEPT_CHARS:
-            kept[key] = made
+        made = kept.young.get(key)
+        if made is None and (made := kept.recall(key)) is None:
+            made = self._word(word)
+            if len(key) <= KEPT_CHARS:
+                kept.young[key] = made
         return made
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        if len(self.kept) > self.most // 4:
-            self.kept.clear()
-        known, spaced, out = self.known, self.spaced, []
+        self.kept.turn()
+        known, young, spaced, out = self.known, self.known.young, self.spaced, []
         for p in pieces:
             if not p:
                 out.append(b"")
@@ -201,20 +234,23 @@ class LibraryWords:
                 else:
                     out.append(b"".join(map(self._of, self.split(p))))
                 continue
-            ids = known.get(bare)
-            if ids is None:
+            ids = young.get(bare)
+            if ids is None and (ids := known.recall(bare)) is None:
                 ids = self._word(p)
                 if stop and len(bare) <= KEPT_CHARS:
-                    known[bare] = ids
+                    young[bare] = ids
             out.append(ids + stop)
         return out
 
 
-@lru_cache(maxsize=4)
-def library_encoder(path: str, spaced: bool, most: int = KEPT_PIECES) -> PieceEncoder:
-    """Ids as the tokenizers library's ``encode(text, add_special_tokens=False)`` gives them."""
-    words = LibraryWords(path, spaced, most)
-    encoder = PieceEncoder(words.encode, spaced, words.marks, most)
+@lru_cache(maxsize=1)
+def library_encoder(path: str, spaced: bool, most: int = KEPT_BYTES) -> PieceEncoder:
+    """Ids as the tokenizers library's ``encode(text, add_special_tokens=False)`` gives them.
+
+    ``most`` bytes are remembered, three quarters of them for pieces.
+    """
+    words = LibraryWords(path, spaced, most // 4)
+    encoder = PieceEncoder(words.encode, spaced, words.marks, most - most // 4)
     if spaced:
         words.known = encoder.kept
     return encoder

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import hold, settle, slices, table
-from .encoding import KEPT_PIECES, WORD_BPE, library_encoder, tokenizer_path
+from .encoding import KEPT_BYTES, WORD_BPE, library_encoder, tokenizer_path
 
 WINDOW = 2048
 OPEN_WINDOWS = 64
@@ -80,10 +80,10 @@ class Packer:
 _FIELDS = ("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset", "open")
 
 
-def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int, open_windows: int, kept_pieces: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int, open_windows: int, kept_bytes: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     hold(tokenizer)
     base = TaskContext.get().partitionId() << 32
-    encoder, packer = library_encoder(tokenizer, False, kept_pieces), Packer(window, open_windows)
+    encoder, packer = library_encoder(tokenizer, False, kept_bytes), Packer(window, open_windows)
     end = end_id.to_bytes(4, "little")
     types = (id_type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
     out: list[list] = [[] for _ in _FIELDS]
@@ -128,12 +128,13 @@ def pack(
     window: int = WINDOW,
     open_windows: int = OPEN_WINDOWS,
     merge: int = MERGE,
-    kept_pieces: int = KEPT_PIECES,
+    kept_bytes: int = KEPT_BYTES,
 ) -> DataFrame:
     """Pack ``docs(doc_id, text, ...)`` into sequences of at most ``window`` ids.
 
     Returns a row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``; ids are
-    unsigned 32-bit little-endian.  ``kept_pieces`` bounds what a worker remembers.  A null or empty text is one piece of the end id; null and
+    unsigned 32-bit little-endian.  ``kept_bytes`` bounds what a worker remembers.
+    A null or empty text is one piece of the end id; null and
     repeated doc_ids are packed like any other (each row by itself); an empty table gives no rows;
     other columns are not read.
     """
@@ -141,7 +142,7 @@ def pack(
     kind, arrow = field.dataType.simpleString(), to_arrow_type(field.dataType)
     rows = settle(
         docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-            lambda it: _pack(it, tokenizer, end_id, window, open_windows, kept_pieces, arrow),
+            lambda it: _pack(it, tokenizer, end_id, window, open_windows, kept_bytes, arrow),
             f"doc_id {kind}, start long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean",
         ),
         "packed",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .common import bounded
 from .embedding import op5_embedding_dedup
 from .packing import op4_packing
 from .quality_classifier import op10_quality
@@ -25,5 +26,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality": op10_quality,
 }
+QUERIES = {name: bounded(query) for name, query in QUERIES.items()}
 #: Tokenisers, hashes, models and binary searches are outside SQL; tests/llm has brute-force versions.
 ORACLE_SQL: dict[str, str] = {}

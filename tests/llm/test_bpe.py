@@ -1,13 +1,15 @@
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from logweave.llm.bpe import Decoder, Encoder, MergeList, Transducer, decode, encode, op1_bpe
+from logweave.llm.bpe import Codec, Decoder, Encoder, MergeList, Transducer, decode, digests, encode, op1_bpe
 from logweave.llm.common import table
 from logweave.llm.encoding import BYTE_BPE, PieceEncoder, tokenizer_path
 
@@ -60,13 +62,12 @@ def test_transducer_emits_what_the_whole_gives(seed, letters):
     rng = random.Random(seed)
     alphabet = rng.sample("theinaros er", 1 + letters)
     body = "".join(rng.choice(alphabet) for _ in range(3 * MERGES.window)).encode()
-    run, got, most = Transducer(MERGES), [], 0
+    run, got = Transducer(MERGES), []
     for at in range(0, len(body), 97):
         got += run.feed(body[at : at + 97])
-        most = max(most, len(run.buffer))
     assert got, "tokens come out before the end"
     assert got + run.close() == MERGES.merge(body)
-    assert most < MERGES.window + MERGES.longest
+    assert run.most <= MERGES.window
 
 
 def test_lookahead_of_small_lists():
@@ -87,6 +88,48 @@ def test_lookahead_of_small_lists():
     assert Small([("a", "b"), ("c", "d"), ("ab", "cd")])._lookahead() == 2
 
 
+def test_tokens_leave_ordinary_words_early(library):
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    codec = Codec(PATH)
+    n = sum(len(ids) // 4 for _, ids, _ in codec.blocks(docs))
+    assert n == sum(len(x.ids) for x in library.encode_batch(docs, add_special_tokens=False))
+    assert codec.encoder.early > 10_000 and codec.encoder.run.most < 300
+
+
+@pytest.mark.parametrize("unit", ["x", "=", "abcdefghijklmnopqrstuvwxyz", "\u65e5\u672c"])
+def test_long_runs_without_spaces(unit, library):
+    text = (unit * 1_000_000)[:1_000_000]
+    codec, start = Codec(PATH), time.process_time()
+    ids = b"".join(body for _, body, _ in codec.blocks([text]))
+    assert time.process_time() - start < 20  # a few seconds alone
+    assert codec.encoder.run.most <= codec.merges.window
+    part = text[:20_000]
+    assert np.frombuffer(b"".join(body for _, body, _ in codec.blocks([part])), "<u4").tolist() == library.encode(part, add_special_tokens=False).ids
+    assert codec.decoder.text(np.frombuffer(ids, "<u4")) == text
+
+
+def test_memory_forgets_the_rare_only(library):
+    words = [f"w{chr(97 + i % 26)}{i}" for i in range(3000)]
+    texts = [" ".join(["always", *words[i : i + 40]]) for i in range(0, 3000, 40)]
+    encoder = PieceEncoder(Encoder(MERGES, 200 * 100).many, True, MERGES.special, 200 * 100)
+    for t in texts * 2:
+        (body,) = encoder.texts([t])
+        assert np.frombuffer(body, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(encoder.kept.young) + len(encoder.kept.older) <= 2 * (encoder.kept.most + 41)
+
+
+def test_digests_in_blocks(spark, library, monkeypatch):
+    texts = [None, "", "a b", ("word \u00e9\u20ac " * 300_000), "x" * 2_500_000]
+    rows = digests(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA), PATH).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        if len(text) < 2_000_000 or " " in text:
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
+        assert r.decoded_sha256 == sha(text)
+
+
 def test_decoder_splits_characters(merges, library):
     ids = [merges.of_byte[b] for b in "aé😀".encode()] + [merges.of_byte[0xE2], merges.of_byte[0x82]] + [merges.of_byte[0xFF]]
     for step in (1, 2, 5):

@@ -2,6 +2,7 @@ import os
 
 import pyarrow as pa
 
+from logweave import shared
 from logweave.llm import common
 
 
@@ -14,7 +15,7 @@ def test_settled_rows_stay_the_same(spark):
 
 
 def test_purge_deletes_what_was_settled(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}")
     assert common.settle(spark.range(3), "x").count() == 3
     assert os.listdir(tmp_path / spark.sparkContext.applicationId)
     common.purge(spark)
