@@ -1,12 +1,16 @@
 """Operator 8, secret scans: patterns find candidates, corpus-wide ownership tells what they are.
 
-Candidates are the base patterns (which stay, whatever follows) and wider ones: signed tokens, key
-headers, prefixed service tokens and opaque mixed-case strings.  Every candidate's value is hashed;
-over the whole corpus the distinct owners and repositories of each hash are counted (pairs are made
-distinct first, so a value that fills a third of the corpus is a handful of rows).  A value that
-several owners share is an ``example``: documentation, a tutorial, a copied file.  One that stays
-with few owners and looks live (long, varied, no placeholder word) is ``live``; the rest is
-``weak``.  Wider candidates become spans only where they are live.
+Candidates are the base patterns (which stay, whatever follows) and wider ones: signed tokens, private
+keys, prefixed service tokens and opaque mixed-case strings.  Every candidate's value is hashed; over
+the whole corpus the distinct owners and the distinct repositories of each hash are counted, each from
+pairs of its own that are made distinct first, so a value that fills a third of the corpus is counted
+in parts.  A repository is not nested in an owner: mirrors of a file are one repository, whoever has
+them, and one owner's files are many.
+
+A value that several owners have in several repositories is an ``example`` (documentation, a
+tutorial, a copied file), and so is one that two owners have in many.  One that stays with its owner
+and looks live (long, varied, no placeholder word) is ``live``, in however many files and mirrors;
+the rest is ``weak``.  Wider candidates become spans only where they are live.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +32,13 @@ from .common import carries, settle, slices, table, texts_of
 #: Kinds in the order in which equal starts are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "service", "opaque")
 BASE = 3
-#: A value with this many owners, in this many repositories, is an example.
+#: A value with this many owners, in this many repositories, is an example; and one of two owners in many.
 EXAMPLE_OWNERS = 3
 EXAMPLE_REPOSITORIES = 3
+WIDE_REPOSITORIES = 10
+#: Hashes of examples that are broadcast (8 bytes each), at most; more are joined in salted parts.
+BROADCAST_HASHES = 200_000
+SALTS = 16
 MIN_ENTROPY = 2.5
 MIN_DISTINCT = 6
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "dummy", "sample", "redacted")
@@ -37,8 +46,13 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "dummy", "
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+#: A private key whole: its header, header lines, lines of its body (ends of lines may be escaped) and footer.
+_PEM = re.compile(
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?>\r?\n[A-Za-z]{1,20}(?:-[A-Za-z]{1,20}){1,3}:[^\n]{0,200})*"
+    r"(?>(?:\s|\\[nr]){0,8}[A-Za-z0-9+/=]{16,})*(?>(?:\s|\\[nr]){0,8}[A-Za-z0-9+/=]{0,80}(?:\s|\\[nr]){0,8}-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
+)
+_BETWEEN = re.compile(r"\s|\\[nr]")
 _SERVICE = re.compile(r"\b(?:gh[opusr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 
@@ -70,14 +84,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def wider_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Candidates of the other kinds that overlap no base span and no earlier one."""
+def candidates(text: str) -> list[tuple[int, int, int, str]]:
+    """Matches of the other kinds, which may overlap."""
     found = []
     if "eyJ" in text:
         found += [(m.start(), 3, m.end(), m[0]) for m in _JWT.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        # the header itself is the value: what follows is the owner's
-        found += [(m.start(), 4, m.end(), text[m.start() : m.end() + 80]) for m in _PEM.finditer(text)]
+        # the same key however its lines are broken
+        found += [(m.start(), 4, m.end(), _BETWEEN.sub("", m[0])) for m in _PEM.finditer(text)]
     if any(h in text for h in ("gh", "xox", "sk_live_")):
         found += [(m.start(), 5, m.end(), m[0]) for m in _SERVICE.finditer(text)]
     if b"x" * 24 in text.encode("utf-8", "surrogatepass").translate(_AS_OPAQUE):
@@ -85,11 +99,26 @@ def wider_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
             v = m[0]
             if v.lower() != v and v.upper() != v and any(c.isdigit() for c in v) and entropy(v) >= 3.5:
                 found.append((m.start(), 6, m.end(), v))
-    taken = [(s, e) for s, _, e, _ in base]
+    return found
+
+
+def wider_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Candidates that overlap no span of ``base`` (by start) and no earlier one, by kind and start."""
+    # disjoint stretches that are taken, as their starts and ends
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end, _ in base:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     out = []
-    for span in sorted(found, key=lambda x: (x[1], x[0])):
-        if all(span[2] <= s or e <= span[0] for s, e in taken):
-            taken.append((span[0], span[2]))
+    for span in sorted(candidates(text), key=lambda x: (x[1], x[0])):
+        i = bisect_right(starts, span[0])
+        if (not i or ends[i - 1] <= span[0]) and (i == len(starts) or span[2] <= starts[i]):
+            starts.insert(i, span[0])
+            ends.insert(i, span[2])
             out.append(span)
     return sorted(out)
 
@@ -122,15 +151,21 @@ def _scan(batches: Iterator[pa.RecordBatch], carried: bool) -> Iterator[pa.Recor
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """``hash, owners, repositories`` over the candidates of ``found(found, owner, repository)``."""
-    return (
-        found.select(F.explode("found.hash").alias("hash"), "owner", "repository")
-        .distinct()
-        .groupBy("hash", "owner")
-        .agg(F.count("*").alias("n"))
-        .groupBy("hash")
-        .agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    )
+    """``hash, owners, repositories`` over the candidates of ``found(found, owner, repository)``.
+
+    Owners and repositories are counted apart; rows of a pair are combined before they move, and the
+    pairs of one hash are dealt by pair, so no task gets all rows of a hash.
+    """
+    pairs = found.select(F.explode("found.hash").alias("hash"), "owner", "repository")
+    owners = pairs.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
+    repositories = pairs.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
+    return owners.join(repositories, "hash")
+
+
+def is_example(owners: int = EXAMPLE_OWNERS, repositories: int = EXAMPLE_REPOSITORIES, wide: int = WIDE_REPOSITORIES) -> Column:
+    """The rule over ``ownership``'s counts."""
+    o, r = F.col("owners"), F.col("repositories")
+    return ((o >= owners) & (r >= repositories)) | ((o >= 2) & (r >= wide))
 
 
 def find_secrets(
@@ -140,17 +175,21 @@ def find_secrets(
     repository: Column | None = None,
     example_owners: int = EXAMPLE_OWNERS,
     example_repositories: int = EXAMPLE_REPOSITORIES,
+    wide_repositories: int = WIDE_REPOSITORIES,
+    broadcast_hashes: int = BROADCAST_HASHES,
 ) -> DataFrame:
-    """All candidates of every row of ``docs(text, source, lang, ...)`` with their verdicts.
+    """All candidates of every row of ``docs(text, ...)`` with their verdicts.
 
     Returns ``row`` (a struct of the kept columns), ``base`` (the base spans as text) and ``spans``,
-    an array of ``(start, kind, end, verdict)`` by start and kind.  The owner is the source, the
-    repository a source's language.  Null and empty texts have no spans; a null owner is one owner
-    of its own; repeated rows are each scanned; an empty table gives no rows; kept columns sit in
-    the struct, so no name can clash.
+    an array of ``(start, kind, end, verdict)`` by start and kind.  The owner is the ``source`` where
+    there is such a column (else all rows have one owner), the repository the text itself, so mirrors
+    of a document are one.  Null and empty texts have no spans; very long texts are scanned whole, in
+    time that grows in proportion; a null owner is one owner of its own; repeated rows are each
+    scanned; an empty table gives no rows; kept columns sit in the struct, so no name can clash.
     """
-    owner = F.coalesce(F.col("source").cast("string"), F.lit("")) if owner is None else owner
-    repository = F.concat_ws("/", "source", F.coalesce(F.col("lang").cast("string"), F.lit(""))) if repository is None else repository
+    if owner is None:
+        owner = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    repository = F.hex(F.xxhash64(F.col("text").cast("string"))) if repository is None else F.coalesce(repository.cast("string"), F.lit(""))
     carried = carries(docs, keep)
     text = F.lit(None).cast("string") if carried else F.col("text").cast("string")
     rows = docs.select(F.struct(*keep).alias("row"), text.alias("text"), owner.alias("owner"), repository.alias("repository"))
@@ -166,15 +205,16 @@ def find_secrets(
     # the ids are written with the rows, so they stay the same for every later reader
     scanned = settle(rows.mapInArrow(lambda it: _scan(it, carried), made).withColumn("uid", F.monotonically_increasing_id()), "secrets")
     some = F.size("found") > 0
-    shared = settle(
-        ownership(scanned.where(some)).where((F.col("owners") >= example_owners) & (F.col("repositories") >= example_repositories)).select("hash"),
-        "shared-values",
-    ).withColumn("shared", F.lit(True))
+    shared = settle(ownership(scanned.where(some)).where(is_example(example_owners, example_repositories, wide_repositories)).select("hash"), "shared-values").withColumn("shared", F.lit(True))
     each = scanned.where(some).select("uid", F.explode("found").alias("s")).select("uid", "s", F.col("s.hash").alias("hash"))
+    if shared.count() <= broadcast_hashes:
+        marked = each.join(F.broadcast(shared), "hash", "left")
+    else:
+        salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = each.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "_salt"], "left")
     verdict = F.when(F.col("shared"), "example").when(F.col("s.live"), "live").otherwise("weak")
     judged = (
-        each.join(shared, "hash", "left")
-        .select("uid", F.struct("s.start", "s.kind", "s.end", verdict.alias("verdict")).alias("span"))
+        marked.select("uid", F.struct("s.start", "s.kind", "s.end", verdict.alias("verdict")).alias("span"))
         .groupBy("uid")
         .agg(F.sort_array(F.collect_list("span")).alias("spans"))
     )
@@ -216,7 +256,9 @@ def _redact(batches: Iterator[pa.RecordBatch], mask: str) -> Iterator[pa.RecordB
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The rows and columns of ``docs`` with every secret that is no widely copied example masked.
 
-    ``n_chars``, where there is such a column, follows the new text; other rows are untouched.
+    ``n_chars``, where there is such a column, follows the new text; rows without such secrets stay
+    as they are.  Null and empty texts have none; very long texts are read and masked whole; repeated
+    rows and null ids are masked row by row; an empty table gives no rows; columns of any names stay.
     """
     found = find_secrets(docs, tuple(docs.columns))
     bad = F.filter("spans", lambda s: ((s["kind"] < BASE) & (s["verdict"] != "example")) | (s["verdict"] == "live"))
