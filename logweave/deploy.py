@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -14,16 +15,18 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once a session, unless their path has it already.
+    """Send the package to the executors, once a session.
 
-    Workers search the driver's working folder and PYTHONPATH on one machine; on a cluster the
-    package is normally given with ``--py-files``, and sending it again does no harm.
+    Only a local session's workers search the driver's working folder and PYTHONPATH; where those have
+    the package nothing is sent.  On a cluster it may have been given with ``--py-files``, and sending
+    it again does no harm.
     """
     paths = {os.path.realpath(p or ".") for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
-    app = spark.sparkContext.applicationId
-    if str(ROOT) in paths or app in _shipped:
+    context = spark.sparkContext
+    app, local = context.applicationId, re.fullmatch(r"local(\[.*\])?", context.master)
+    if app in _shipped or (local and str(ROOT) in paths):
         return
     _shipped.add(app)
     folder = tempfile.mkdtemp(prefix="logweave-package-")
     archive = shutil.make_archive(f"{folder}/logweave", "zip", ROOT, "logweave")
-    spark.sparkContext.addPyFile(archive)  # served by the driver from then on
+    context.addPyFile(archive)  # served by the driver from then on

@@ -58,6 +58,7 @@ def cache_trace(reads: DataFrame, invalidations: DataFrame) -> DataFrame:
 def coalesce_invalidations(paths: DataFrame, pause_ms: int = 50) -> DataFrame:
     """Batches of distinct paths: the first path waits ``pause_ms`` and takes along what arrives.
 
-    ``paths(queue, t, path)``; a batch is named by its first time.
+    ``paths(queue, t, path)``; a batch is named by its first time.  Queues are few, so they are divided
+    where nothing arrives for longer than the pause.
     """
-    return anchored_window(paths, ["queue"], "t", pause_ms, name="batch").groupBy("queue", "batch").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("requests"))
+    return anchored_window(paths, ["queue"], "t", pause_ms, name="batch", cut=True).groupBy("queue", "batch").agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("requests"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .strides import max_before, min_after
+
 
 def replay(entries: DataFrame, position: str = "pos", index: str = "idx", stride: int = 1 << 14) -> DataFrame:
     """Rows that survive a replay: an entry replaces its own index and all after it.
@@ -14,9 +16,8 @@ def replay(entries: DataFrame, position: str = "pos", index: str = "idx", stride
     task ever holds the whole log.
     """
     cut = entries.withColumn("_stride", F.floor(F.col(position) / stride))
-    after = Window.orderBy(F.desc("_stride")).rowsBetween(Window.unboundedPreceding, -1)
     # one row a stride
-    heads = cut.groupBy("_stride").agg(F.min(index).alias("_least")).withColumn("_beyond", F.min("_least").over(after)).drop("_least")
+    heads = min_after(cut.groupBy("_stride").agg(F.min(index).alias("_least")), [], "_stride", "_least", "_beyond").drop("_least")
     # backwards, as a frame that grows is summed up once and one that shrinks anew for every row
     within = Window.partitionBy("_stride").orderBy(F.desc(position)).rowsBetween(Window.unboundedPreceding, -1)
     later = F.least(F.min(index).over(within), F.col("_beyond"))
@@ -31,7 +32,7 @@ def gaps(entries: DataFrame, index: str = "idx", keys: tuple[str, ...] = (), str
     """
     cut = entries.withColumn("_stride", F.floor(F.col(index) / stride))
     ends = cut.groupBy(*keys, "_stride").agg(F.max(index).alias("_last"))
-    ends = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_stride"))).drop("_last")
+    ends = max_before(ends, list(keys), "_stride", "_last", "_before").drop("_last")
     within = F.lag(index).over(Window.partitionBy(*keys, "_stride").orderBy(index))
     seen = cut.withColumn("previous", within).join(ends, [*keys, "_stride"]).withColumn("previous", F.coalesce("previous", "_before"))
     return seen.where(F.col(index) - F.col("previous") != 1).drop("_stride", "_before")

@@ -14,6 +14,8 @@ from .bases import sql, table
 
 CATALOG: dict = {}
 DELAY_MS = 20_000
+#: Time after which as-of joins divide a key.
+STRIDE_MS = 1 << 24
 PREFIX = "/v1/cache/"
 
 
@@ -31,7 +33,7 @@ def reads(spark, sf, w):
     """Cache reads with the origin's answer: the key's last write before the read; some get none."""
     asked = B.keyed(spark, sf).where("event_type = 'view'").select("key", (F.col("event_id") * 1000).alias("t"), F.col("event_id").alias("read_id"))
     asked = asked.where(X.in_namespaces("key", B.NAMESPACES))
-    seen = as_of(asked, w, ["key"], "t", ["op", "version", "cacheable", "ttl"])
+    seen = as_of(asked, w, ["key"], "t", ["op", "version", "cacheable", "ttl"], stride=STRIDE_MS)
     ok = F.when(F.col("read_id") % 17 != 0, F.coalesce((F.col("op") == "PUT") & F.col("cacheable"), F.lit(False)))
     return seen.select(F.concat(F.lit(PREFIX), X.path_escape("key")).alias("uri"), "key", "t", "read_id", ok.alias("ok"), "version", X.clamp_ttl("ttl").alias("ttl"))
 
@@ -137,7 +139,7 @@ def stale_reads(spark, sf):
     served = trace(spark, sf, DELAY_MS, w).where("served IS NOT NULL").withColumn("key", F.replace("uri", F.lit(PREFIX), F.lit("")))
     served = served.withColumn("key", F.url_decode("key"))
     acks = w.where("op = 'PUT'").select("key", "t", F.col("version").alias("latest"))
-    late = as_of(served, acks, ["key"], "t", ["latest"]).where("latest > served")
+    late = as_of(served, acks, ["key"], "t", ["latest"], stride=STRIDE_MS).where("latest > served")
     after = Window.partitionBy("key").orderBy(F.desc("version")).rowsBetween(Window.unboundedPreceding, -1)
     put_t = F.when(F.col("op") == "PUT", F.col("t"))
     superseded = w.withColumn("since", F.last(put_t, ignorenulls=True).over(after)).select("key", F.col("version").alias("served"), "since")

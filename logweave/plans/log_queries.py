@@ -6,7 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..operators import commands as C
 from ..operators import logs as L
+from ..operators.strides import sum_before
+from ..shared import settle
 from . import bases as B
 from .bases import sql, table
 
@@ -23,7 +26,7 @@ def wal_log(spark, sf):
     back = F.when(k % 7 == 0, k % 5).otherwise(0)
     w = Window.partitionBy("_s").orderBy("event_id")
     rows = B.raw(spark, sf).select("event_id", k, back.alias("back"), F.floor(F.col("event_id") / 4096).alias("_s"))
-    base = rows.groupBy("_s").agg(F.sum("back").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    base = sum_before(rows.groupBy("_s").agg(F.sum("back").alias("n")), [], "_s", "n", "base").drop("n")
     run = F.sum("back").over(w) + F.col("base")
     return rows.join(base, "_s").select(F.col("event_id").alias("pos"), F.greatest(F.lit(1), F.col("event_id") + 1 - run).alias("idx"), (1 + F.floor(F.col("event_id") / 2000)).alias("term"), (F.col("k") == 42).alias("hard_state"))
 
@@ -42,8 +45,8 @@ def log_gaps(spark, sf):
 add("log_gaps", log_gaps, sql(WAL, """SELECT idx, previous FROM (SELECT idx, lag(idx) OVER (ORDER BY idx) AS previous FROM kept WHERE idx % 97 NOT IN (3, 4, 50)) WHERE idx - previous <> 1"""))
 
 
-def segments(spark, sf):
-    c = B.cmds(spark, sf)
+def segments(spark, sf, log=None):
+    c = B.cmds(spark, sf) if log is None else log
     return c.groupBy("shard", (F.floor(F.col("log_index") / 500) + 1).alias("seq")).agg(F.min("log_index").alias("tag"), F.sum(F.octet_length("key")).alias("bytes"))
 
 
@@ -168,9 +171,10 @@ FROM replica_log m LEFT JOIN (SELECT * FROM replica_log WHERE replica = 0 AND id
 PEERS = 9
 
 
-def status(spark, sf):
+def status(spark, sf, log=None):
     """shard, last index and a map of peers to match indexes; three shards of three peers, a fixed cluster."""
-    last = B.cmds(spark, sf).groupBy("shard").agg(F.count("*").alias("last"))
+    # indexes are dense, so the last is the count, which needs no positions
+    last = (B.unplaced(spark, sf) if log is None else log).groupBy("shard").agg(F.count("*").alias("last"))
     p = F.col("id")
     peers = spark.range(PEERS).select((F.floor(p / 3)).cast("int").alias("shard"), F.concat(F.lit("n"), p % 3 + 1).alias("peer"), (p * 37 % 100).alias("behind"))
     rows = last.join(peers, "shard").select("shard", "last", "peer", (F.col("last") - F.col("behind")).alias("match"))
@@ -224,12 +228,13 @@ add("rebalance_candidates", rebalance_candidates, sql(STATUS, f"SELECT shard, 'n
 
 
 def shard_status(spark, sf):
-    """One row a shard: live keys, log bytes, positions and leader."""
-    keys = B.state(spark, sf).groupBy("shard").agg(F.count_if(~F.col("deleted")).alias("keys"))
-    wal = segments(spark, sf).groupBy("shard").agg(F.sum("bytes").alias("wal_bytes"))
-    commit = quorum_commit_index(spark, sf).select("shard", "commit")
-    last = status(spark, sf).select("shard", "last")
-    return last.join(commit, "shard").join(keys, "shard").join(wal, "shard").select("shard", F.concat(F.lit("n"), F.col("shard") % 3 + 1).alias("leader"), "last", "commit", "keys", "wal_bytes")
+    """One row a shard: live keys, log bytes, positions and leader.  The log is placed once and read thrice."""
+    log = settle(B.cmds(spark, sf), "commands")
+    records = C.state(C.fold(C.executed(C.with_anchors(log, B.DEDUP))))
+    keys = records.groupBy("shard").agg(F.count_if(~F.col("deleted")).alias("keys"))
+    wal = segments(spark, sf, log).groupBy("shard").agg(F.sum("bytes").alias("wal_bytes"))
+    commit = status(spark, sf, log).select("shard", "last", L.quorum_index(F.map_values("match_index")).alias("commit"))
+    return commit.join(keys, "shard").join(wal, "shard").select("shard", F.concat(F.lit("n"), F.col("shard") % 3 + 1).alias("leader"), "last", "commit", "keys", "wal_bytes")
 
 
 add("shard_status", shard_status, sql(B.STATE + SEGMENTS[len(B.CMDS):] + STATUS[len(B.CMDS):], """SELECT l.shard, concat('n', l.shard % 3 + 1) AS leader, l.last,

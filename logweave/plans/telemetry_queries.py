@@ -72,13 +72,8 @@ add("latency_by_op", latency_by_op, sql(SAMPLES, f"SELECT coalesce(op, 'all') AS
 
 
 def latency_percentiles(spark, sf):
-    """The same rule over the samples of each user, small groups as sorted arrays."""
-    return (
-        samples(spark, sf)
-        .groupBy("user_id")
-        .agg(F.collect_list("ms").alias("xs"))
-        .select("user_id", X.rank_percentile("xs", 0.5).alias("p50"), X.rank_percentile("xs", 0.95).alias("p95"), F.array_max("xs").alias("max"), F.size("xs").cast("bigint").alias("n"))
-    )
+    """The same rule over the samples of each user."""
+    return percentiles(samples(spark, sf), ["user_id"], "ms", {"p50": 0.5, "p95": 0.95})
 
 
 add("latency_percentiles", latency_percentiles, sql(SAMPLES, f"SELECT user_id, {_pick(0.5)} AS p50, {_pick(0.95)} AS p95, max(ms) AS max, count(*) AS n FROM samples GROUP BY user_id"))

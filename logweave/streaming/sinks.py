@@ -33,19 +33,39 @@ def with_retries(purge: Callable[[list[str]], None], attempts: int = ATTEMPTS, b
 def invalidate(purge: Callable[[list[str]], None], column: str = "path", per_call: int = PER_CALL) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: every distinct path once, so many to a call.
 
-    Paths are made distinct by Spark and fetched a partition at a time; after an error the other
-    calls still go out and the first error is raised.
+    Paths are made distinct by Spark and fetched a partition at a time, so all calls come from the
+    driver; ``invalidate_from_executors`` is for micro-batches with many paths.
     """
 
     def batch(df: DataFrame, _: int) -> None:
-        rows: Iterator = df.select(column).where(f"{column} IS NOT NULL").distinct().toLocalIterator()
-        first: Exception | None = None
-        while paths := [r[0] for r in islice(rows, per_call)]:
-            try:
-                purge(paths)
-            except Exception as e:
-                first = first or e
-        if first is not None:
-            raise first
+        _calls(purge, _paths(df, column).toLocalIterator(), per_call)
 
     return batch
+
+
+def invalidate_from_executors(purge: Callable[[list[str]], None], column: str = "path", per_call: int = PER_CALL) -> Callable[[DataFrame, int], None]:
+    """The same, each partition of distinct paths purged by the task that holds it.
+
+    ``purge`` must be picklable and safe to repeat: a task that fails is run again.
+    """
+
+    def batch(df: DataFrame, _: int) -> None:
+        _paths(df, column).foreachPartition(lambda rows: _calls(purge, rows, per_call))
+
+    return batch
+
+
+def _paths(df: DataFrame, column: str) -> DataFrame:
+    return df.select(column).where(f"{column} IS NOT NULL").distinct()
+
+
+def _calls(purge: Callable[[list[str]], None], rows: Iterator, per_call: int) -> None:
+    """So many paths to a call; after an error the other calls still go out and the first error is raised."""
+    first: Exception | None = None
+    while paths := [r[0] for r in islice(rows, per_call)]:
+        try:
+            purge(paths)
+        except Exception as e:
+            first = first or e
+    if first is not None:
+        raise first

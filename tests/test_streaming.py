@@ -41,3 +41,29 @@ def test_invalidation_sink(spark):
     with pytest.raises(OSError, match="busy"):
         invalidate(purge, per_call=1)(rows, 1)
     assert len(calls) == 2
+
+
+def test_invalidation_from_executors(spark, tmp_path):
+    import pytest
+
+    from logweave.streaming.sinks import invalidate_from_executors
+
+    folder = str(tmp_path)
+
+    def purge(paths):
+        import os
+        import uuid
+
+        with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+            f.write("\n".join(paths))
+
+    rows = spark.createDataFrame([(f"p{i % 50}",) for i in range(200)] + [(None,)], "path string")
+    invalidate_from_executors(purge, per_call=7)(rows, 0)
+    calls = [p.read_text().split("\n") for p in tmp_path.iterdir()]
+    assert sorted(x for c in calls for x in c) == sorted(f"p{i}" for i in range(50)) and max(map(len, calls)) <= 7
+
+    def refuse(paths):
+        raise OSError("busy")
+
+    with pytest.raises(Exception, match="busy"):
+        invalidate_from_executors(refuse)(rows, 1)
