@@ -1,22 +1,29 @@
 """Operator 2, sharding: minimax contiguous partition, DataFrame functions only.
 
-Documents with equal texts form a group that no cut may split.  Groups are ordered by the hash
-of their text, and the order is divided into ``cells`` atomic runs of whole groups (a text's cell
-is the head of its hash), so the driver sees at most ``cells`` sizes, however many documents there
-are.  The smallest capacity for which a greedy left-to-right fill needs no more than ``shards``
-shards is found by binary search over those sizes, and the cuts are made within it.  A cell that
-alone exceeds an even share of the bytes (one text with very many copies) has a shard of its own, as
-otherwise its size would be the capacity of all.
-
-Slots within a shard are ``base of the cell + rank in the cell``.  A cell that holds more than its
-share of the rows (a text with very many copies) is numbered in ``splits`` parts, so no task ever
-ranks a hot group alone; all bases are running sums over a table of bounded size.
+Documents with equal texts form a group that no cut may split.  A group that alone exceeds an even
+share of the bytes (one text with very many copies) has a shard of its own, as otherwise its size
+would be the capacity of all; such groups come first in the order, all others follow by the hash of
+their text.  The smallest capacity for which a greedy left-to-right fill needs no more than
+``shards`` shards is found by binary search, and the cuts are made within it.
+
+The capacity is exact over groups, yet the driver never sees more sizes than about ``atoms`` at once.
+It first sees the sums of runs of groups with equal leading hash bits.  With them as atoms the search
+gives an upper bound of the capacity, an even share gives a lower one, and between the two bounds the
+k-th cut of a greedy fill stays within a window of the order.  Only runs inside windows are divided
+by further hash bits and summed again, until windows hold single groups.  Cuts elsewhere fall
+between runs, which are between groups.
+
+Slots within a shard are ``base of the cell + rank in the cell``, a cell being the groups of equal
+leading hash bits within a shard.  A cell of more than ``part_rows`` rows (a text with very many
+copies) is numbered in parts by row, so no task ever ranks a hot group alone.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import settle, table
 
 SHARDS = 40
-CELLS = 1 << 16
-SPLITS = 64
-HOT_CELLS = 512
+#: Sizes that the driver sees at once, about; cells of slots are as many.
+ATOMS = 1 << 16
+PART_ROWS = 1 << 20
 OVERHEAD = 16
+#: Bits of a text's hash that order the groups.
+KEY_BITS = 60
 
 
 def fits(prefix: list[int], capacity: int, shards: int, at: int = 0) -> list[int] | None:
@@ -80,10 +89,13 @@ def minimax_cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
     return low, cuts
 
 
-def apart(sizes: list[int], shards: int) -> list[int]:
-    """Places of the cells that exceed an even share: each has a shard of its own."""
+def apart(sizes: list[int], shards: int, total: int | None = None) -> list[int]:
+    """Places of the groups that exceed an even share: each has a shard of its own.
+
+    ``sizes`` hold the largest groups at least, ``total`` is the size of all.
+    """
     out: list[int] = []
-    rest, order = sum(sizes), sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    rest, order = sum(sizes) if total is None else total, sorted(range(len(sizes)), key=lambda i: -sizes[i])
     for i in order:
         if len(out) + 1 >= shards or sizes[i] * (shards - len(out)) <= rest:
             break
@@ -92,60 +104,123 @@ def apart(sizes: list[int], shards: int) -> list[int]:
     return sorted(out)
 
 
-def shard(
-    docs: DataFrame, shards: int = SHARDS, cells: int = CELLS, splits: int = SPLITS, hot_cells: int = HOT_CELLS
-) -> DataFrame:
+class Atoms:
+    """Runs of groups in key order: ``(first key, bits of the run's prefix, bytes, groups)``."""
+
+    def __init__(self, runs: list[tuple[int, int, int, int]], shards: int, largest: int) -> None:
+        self.runs = sorted(runs)
+        self.sizes = [n for _, _, n, _ in self.runs]
+        self.prefix = [0, *accumulate(self.sizes)]
+        self.shards = shards
+        total = self.prefix[-1]
+        self.least = max(largest, -(-total // shards)) if total else 0
+
+    def upper(self) -> int:
+        """The capacity if runs were atoms: no less than the groups need."""
+        return minimax_cuts(self.sizes, self.shards)[0]
+
+    def open_ranges(self) -> list[tuple[int, int, int]]:
+        """(first key, last key, bits) of the runs of several groups within reach of a greedy cut."""
+        prefix, most, at, out = self.prefix, self.upper(), 0, set()
+        for k in range(1, self.shards):
+            # a fill by whole runs and the least capacity cuts before the k-th cut, k full shards end after it
+            at = max(at, bisect_right(prefix, prefix[at] + self.least) - 1)
+            first = at if prefix[at] <= k * most else len(self.runs)
+            for i in range(first, len(self.runs)):
+                if prefix[i] >= k * most:
+                    break
+                if self.runs[i][3] > 1 and self.runs[i][1] < KEY_BITS:
+                    out.add(i)
+        ranges: list[tuple[int, int, int]] = []
+        for i in sorted(out):
+            key, bits, *_ = self.runs[i]
+            last = key + (1 << (KEY_BITS - bits)) - 1
+            if ranges and ranges[-1][1] + 1 == key and ranges[-1][2] == bits:
+                ranges[-1] = (ranges[-1][0], last, bits)
+            else:
+                ranges.append((key, last, bits))
+        return ranges
+
+
+def _runs(groups: DataFrame, bits: int) -> list[tuple[int, int, int, int]]:
+    shift = KEY_BITS - bits
+    made = groups.groupBy(F.shiftright("key", shift).alias("run")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups"))
+    return [(r.run << shift, bits, r.bytes, r.groups) for r in made.collect()]
+
+
+def plan(groups: DataFrame, shards: int = SHARDS, atoms: int = ATOMS) -> tuple[list[int], list[int], int]:
+    """Keys of the giants, first keys of the other shards but the first, and the capacity of those.
+
+    ``groups(key, bytes, rows)`` has a row for each key.
+    """
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    # more giants than shards cannot be, and the largest other group comes right after them
+    top = [(r.key, r.bytes) for r in groups.orderBy(F.desc("bytes"), "key").limit(shards + 1).collect()]
+    giants = [top[i][0] for i in apart([n for _, n in top], shards, total)]
+    largest = max((n for k, n in top if k not in giants), default=0)
+    others = groups.where(~F.col("key").isin(giants)) if giants else groups
+    bits = max(1, min(KEY_BITS, atoms.bit_length() - 1))
+    found = Atoms(_runs(others, bits), shards - len(giants), largest)
+    while ranges := found.open_ranges():
+        inside = lambda c: reduce(or_, [c.between(a, b) for a, b, _ in ranges])
+        closed = [r for r in found.runs if not any(a <= r[0] <= b for a, b, _ in ranges)]
+        runs = sum((b - a + 1) >> (KEY_BITS - n) for a, b, n in ranges)
+        bits = min(KEY_BITS, max(n for *_, n in ranges) + max(1, (atoms // runs).bit_length() - 1))
+        found = Atoms([*closed, *_runs(others.where(inside(F.col("key"))), bits)], shards - len(giants), largest)
+    capacity, cuts = minimax_cuts(found.sizes, found.shards)
+    return giants, [found.runs[c][0] for c in cuts[:-1]], capacity
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, atoms: int = ATOMS, part_rows: int = PART_ROWS) -> DataFrame:
     """Assign every row of ``docs(doc_id, text, ...)`` to a shard and a slot.
 
-    Returns ``doc_id, size, text_crc32, cell, shard, slot``; other columns are not read.
+    Returns ``doc_id, size, text_crc32, cell, shard, slot``; other columns are not read, so their names
+    can't clash.
 
-    A null text counts as no bytes and groups with the empty text; a null doc_id is numbered
-    first in its cell; repeated rows each get a slot of their own; an empty table gives no rows;
-    a group larger than the mean shard gets a shard that is larger, as it may not be cut.
+    A null text counts as no bytes and groups with the empty text; very long texts count whole; a null
+    doc_id is numbered first in its cell; repeated rows each get a slot of their own; an empty table
+    gives no rows; a group larger than the mean shard gets a shard that is larger, as it may not be cut.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    bits = max(1, min(KEY_BITS, atoms.bit_length() - 1))
     rows = settle(
-        docs.select("doc_id", body.alias("_b")).select(
+        docs.select("doc_id", body.alias("_b"))
+        .select(
             "doc_id",
             (F.length("_b").cast("long") + OVERHEAD).alias("size"),
             F.crc32("_b").alias("text_crc32"),
-            # a cell is the head of a 160-bit hash: equal texts share one, and order is even
-            F.pmod(F.conv(F.substring(F.sha1("_b"), 1, 12), 16, 10).cast("long"), F.lit(cells)).cast("int").alias("cell"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(splits)).cast("int").alias("part"),
-        ),
+            # the head of a 160-bit hash: equal texts share it, and order is even
+            F.conv(F.substring(F.sha1("_b"), 1, KEY_BITS // 4), 16, 10).cast("long").alias("key"),
+        )
+        .withColumn("cell", F.shiftright("key", KEY_BITS - bits).cast("int"))
+        .withColumn("uid", F.monotonically_increasing_id()),
         "shard-rows",
     )
-    found = {r.cell: (r.bytes, r.rows) for r in rows.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-    order = sorted(found)
-    total = sum(n for _, n in found.values())
-    # cells beyond an even share come first in the order, one shard each; the others follow
-    giants = [order[i] for i in apart([found[c][0] for c in order], shards)]
-    others = [c for c in order if c not in set(giants)]
-    _, cuts = minimax_cuts([found[c][0] for c in others], shards - len(giants))
-    # the first cell of each shard but the first; shards that would be empty have none
-    starts = [others[c] for c in cuts[:-1]]
-    hot = [c for c in order if found[c][1] * hot_cells > total]  # under hot_cells of them
+    groups = settle(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-groups")
+    giants, starts, _ = plan(groups, shards, atoms)
 
     shard_of = F.lit(len(giants))
     for first in starts:
-        shard_of = shard_of + (F.col("cell") >= first).cast("int")
-    for i, c in enumerate(giants):
-        shard_of = F.when(F.col("cell") == c, i).otherwise(shard_of)
-    part = F.when(F.col("cell").isin(hot), F.col("part")).otherwise(F.lit(0)) if hot else F.lit(0)
-    placed = rows.withColumn("part", part).withColumn("shard", shard_of)
-
-    # bounded: at most cells + hot_cells * splits rows; running sums restart in every shard
+        shard_of = shard_of + (F.col("key") >= first).cast("int")
+    for i, key in enumerate(giants):
+        shard_of = F.when(F.col("key") == key, i).otherwise(shard_of)
+    # at most as many cells as atoms: a few bytes each
+    cells = groups.groupBy(F.shiftright("key", KEY_BITS - bits).cast("int").alias("cell")).agg(F.ceil(F.sum("rows") / part_rows).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
+    placed = rows.join(F.broadcast(cells), "cell").withColumn("part", part).withColumn("shard", shard_of)
+
+    # a row for each cell and part; running sums restart in every shard
     before = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         placed.groupBy("shard", "cell", "part")
         .agg(F.count("*").alias("_n"))
         .withColumn("base", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .select("cell", "part", "base")
+        .select("shard", "cell", "part", "base")
     )
-    rank = F.row_number().over(Window.partitionBy("cell", "part").orderBy("doc_id", "size", "text_crc32"))
+    rank = F.row_number().over(Window.partitionBy("shard", "cell", "part").orderBy("doc_id", "key", "uid"))
     return (
         placed.withColumn("_r", rank)
-        .join(bases, ["cell", "part"])
+        .join(bases, ["shard", "cell", "part"])
         .select("doc_id", "size", "text_crc32", "cell", "shard", (F.col("base") + F.col("_r") - 1).cast("long").alias("slot"))
     )
 
