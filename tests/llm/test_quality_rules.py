@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logweave.llm.common import table
-from logweave.llm.quality_rules import CLASSES, MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE, WORDS, measure, op9_quality_rules, repeated_words, rules
+from logweave.llm.quality_rules import CLASSES, MAX_CHARS_DISTANCE, MAX_WORDS_DISTANCE, SQL, WORDS, measure, op9_quality_rules, repeated_words, rules
 
 SCHEMA = "doc_id long, text string, lang string, kept string, n_words int"
 
@@ -47,13 +47,16 @@ def distance(p, q):
 
 
 def test_whole_table(spark):
-    docs = table(spark, "/root/testdata/sf0.01", "documents").collect()
-    got = {r.doc_id: r for r in op9_quality_rules(spark, "/root/testdata/sf0.01").collect()}
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").collect()
+    got = {r.doc_id: r for r in rules(table(spark, sf, "documents")).collect()}
     assert len(got) == len(docs)
+    assert {r.doc_id: (r.base_failed, r.kept) for r in op9_quality_rules(spark, sf).collect()} == {d: (r.base_failed, r.kept) for d, r in got.items()}
+    clean = {(d.lang, d.text) for d in docs if not got[d.doc_id].base_failed}
     rows = {d.doc_id: measure(d.text) for d in docs}
     share = lambda x: np.array(x) / max(1, sum(x))
     for k, name, least in ((5, "chars_distance", 200), (6, "words_distance", 60)):
-        refs = {lang: share(np.sum([rows[d.doc_id][k] for d in docs if d.lang == lang], axis=0)) for lang in {d.lang for d in docs}}
+        refs = {lang: share(np.sum([measure(t)[k] for l, t in clean if l == lang], axis=0)) for lang in {d.lang for d in docs}}
         for d in docs:
             own = rows[d.doc_id][k]
             if sum(own) < least:
@@ -73,3 +76,25 @@ def test_nulls_repeats_empty(spark):
     got = rules(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in got) == [(0, 0, False), (1, 27, False), (2, 0, False), (2, 0, False)]
     assert rules(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def english(i):
+    return " ".join(f"the dog of {chr(97 + i % 26)}w{chr(97 + i // 26)} and a cat in the house is on it" for _ in range(1)) + f" {'x' * (i % 7)} with {'y' * (i % 5 + 1)} words at the end of line by them as be or not"
+
+
+def test_references_without_junk_copies_and_small_languages(spark):
+    good = [(i, english(i), "en", "", 0) for i in range(60)]
+    junk = [(100 + i, "#### $$$$ |||| %%%% " * 20 + f"q{i}", "en", "", 0) for i in range(60)]
+    copies = [(300 + i, "zz yy xx " + " ".join(f"k{j}" for j in range(80)), "en", "", 0) for i in range(500)]
+    lone = [(900, "#" * 300 + " " + " ".join(f"| {j} %" for j in range(60)), "xx", "", 0)]  # a language of its own is no excuse
+    got = {r.doc_id: r for r in rules(spark.createDataFrame([*good, *junk, *copies, *lone], SCHEMA), guard_chars=100, guard_words=20).collect()}
+    assert all(got[d[0]].kept for d in good)
+    assert all(got[d[0]].base_failed for d in junk) and not got[900].kept and not got[300].kept
+    few = {r.doc_id: r for r in rules(spark.createDataFrame(good[:5] + lone, SCHEMA), guard_chars=100, guard_words=20).collect()}
+    assert all(r.chars_distance is None and r.kept != r.base_failed for r in few.values())
+
+
+def test_against_sql(spark):
+    from tests.oracle import compare
+
+    assert compare(spark, op9_quality_rules, SQL, "/root/testdata/sf0.001") is None
