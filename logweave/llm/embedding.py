@@ -23,10 +23,10 @@ from .components import components
 
 THRESHOLD = 0.93
 RECALL = 0.99
-#: Vectors on which the codebooks are fitted, at most, and vectors per cell to aim at.
+#: Vectors on which the codebooks are fitted, at most (a codebook has half as many centroids at most,
+#: which serves 130 million vectors; larger corpora take a larger sample), and vectors per cell to aim at.
 SAMPLE = 8192
 PER_CELL = 8
-MAX_CENTROIDS = 4096
 #: Members of a chunk, about, and visitors that are multiplied at once.
 CHUNK = 1024
 BLOCK = 1024
@@ -69,7 +69,7 @@ class MultiIndex:
         """Codebooks for a corpus of ``count`` vectors, and the visits that pairs at or above the
         threshold need: a stand-in partner is made for sample vectors at cosines spread over
         [threshold, 1], and the visits cover ``recall`` of those partners' cells."""
-        k = int(min(MAX_CENTROIDS, max(4, round((count / PER_CELL) ** 0.5))))
+        k = int(min(max(4, len(x) // 2), max(4, round((count / PER_CELL) ** 0.5))))
         split = x.shape[1] // 2
         index = cls((kmeans(x[:, :split], k), kmeans(x[:, split:], k)))
         rng = np.random.default_rng(6)
@@ -271,3 +271,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(other) AS component_id, vec_id = min(other) AS kept FROM reach GROUP BY vec_id"""

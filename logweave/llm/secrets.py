@@ -50,10 +50,11 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\
 #: A private key whole: its header, header lines, lines of its body (ends of lines may be escaped) and footer.
 _PEM = re.compile(
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?>\r?\n[A-Za-z]{1,20}(?:-[A-Za-z]{1,20}){1,3}:[^\n]{0,200})*"
-    r"(?>(?:\s|\\[nr]){0,8}[A-Za-z0-9+/=]{16,})*(?>(?:\s|\\[nr]){0,8}[A-Za-z0-9+/=]{0,80}(?:\s|\\[nr]){0,8}-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
+    r"(?>(?:\s|\\[nr]){0,8}[A-Za-z0-9+/=]{16,})*(?>(?:\s|\\[nr]){0,8}[A-Za-z0-9+/=]{0,80}(?:\s|\\[nr]){0,8}-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
+    re.A,
 )
-_BETWEEN = re.compile(r"\s|\\[nr]")
-_SERVICE = re.compile(r"\b(?:gh[opusr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})")
+_BETWEEN = re.compile(r"\s|\\[nr]", re.A)
+_SERVICE = re.compile(r"\b(?:gh[opusr]_[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", re.A)
 _OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{24,}={0,2}")
 
 _AS_HEX = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
@@ -283,3 +284,51 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter(spans, lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
         F.size(F.filter(spans, lambda s: s["verdict"] == "example")).cast("long").alias("n_example"),
     )
+
+
+def _located(kind: int, pattern: str, group: int = 0) -> str:
+    """SQL of the non-overlapping matches of a pattern: place, end, value.  ``group`` 1 is what stands before."""
+    lead = f"regexp_extract_all(t, '{pattern}', {group})"
+    return f"""SELECT id, {kind} AS kind, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, substr(t, CAST(s AS INTEGER) + 1, CAST(e - s AS INTEGER)) AS m FROM (SELECT id, t,
+ coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) + {"length(leads[i])" if group else "0"} AS s,
+ coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i], lambda x: length(x))), 0) AS e
+ FROM (SELECT id, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gaps, {lead} AS leads FROM d), unnest(range(1, len(ms) + 1)) u(i))"""
+
+
+_either = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+_WORDS_SQL = "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key")
+_ASSIGN_SQL = f"""({_WORDS_SQL})["\'\']?\\x20*[:=]\\x20*["\'\']?([A-Za-z0-9+/_.=-]+)"""
+_PEM_SQL = _PEM.pattern.replace("(?>", "(?:").replace("\\\\", "\\\\")
+_NO_OVERLAP = "NOT EXISTS (SELECT 1 FROM {taken} x WHERE x.id = c.id AND x.s < c.e AND c.s < x.e)"
+
+
+def _oracle() -> str:
+    kinds = {3: ("(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 1), 4: (_PEM_SQL, 0), 5: (_SERVICE.pattern, 0), 6: (_OPAQUE.pattern, 0)}
+    parts = [
+        "d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(source, '') AS owner, text AS repository, coalesce(text, '') AS t FROM documents)",
+        f"assign AS (SELECT id, kind, s, e, regexp_extract(m, '{_ASSIGN_SQL}', 2) AS v FROM ({_located(0, _ASSIGN_SQL)}) WHERE length(regexp_extract(m, '{_ASSIGN_SQL}', 2)) >= 6)",
+        f"""base AS MATERIALIZED (SELECT * FROM assign UNION ALL SELECT id, kind, s, e, m FROM ({_located(1, _ACCESS.pattern)}) WHERE length(m) >= 20
+ UNION ALL SELECT id, kind, s, e, m FROM ({_located(2, _HEX.pattern)}) WHERE length(m) >= 24)""",
+    ]
+    taken = "base"
+    for kind, (pattern, group) in kinds.items():
+        value = "regexp_replace(m, '\\s|\\\\[nr]', '', 'g')" if kind == 4 else "m"
+        mixed = "WHERE lower(m) <> m AND upper(m) <> m AND regexp_matches(m, '[0-9]') AND list_aggregate(string_split(m, ''), 'entropy') >= 3.5" if kind == 6 else ""
+        parts.append(f"k{kind} AS (SELECT id, kind, s, e, {value} AS v FROM ({_located(kind, pattern, group)}) {mixed})")
+        parts.append(f"t{kind} AS MATERIALIZED (SELECT * FROM {taken} UNION ALL SELECT * FROM k{kind} c WHERE {_NO_OVERLAP.format(taken=taken)})")
+        taken = f"t{kind}"
+    words = " AND ".join(f"NOT contains(lower(v), '{p}')" for p in PLACEHOLDERS)
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{KINDS[k]}" for k in range(BASE))
+    place = f"[{names}][kind + 1] || ':' || s || ':' || e"
+    return f"""WITH {", ".join(parts)},
+owned AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM {taken} JOIN d USING (id) GROUP BY v),
+judged AS (SELECT c.*, CASE WHEN (owners >= {EXAMPLE_OWNERS} AND repositories >= {EXAMPLE_REPOSITORIES}) OR (owners >= 2 AND repositories >= {WIDE_REPOSITORIES}) THEN 'example'
+ WHEN len(list_distinct(string_split(v, ''))) >= {MIN_DISTINCT} AND list_aggregate(string_split(v, ''), 'entropy') >= {MIN_ENTROPY} AND {words} THEN 'live' ELSE 'weak' END AS verdict FROM {taken} c JOIN owned USING (v)),
+said AS (SELECT id, {counts}, string_agg({place}, ',' ORDER BY s, kind) FILTER (WHERE kind < {BASE}) AS base, string_agg({place}, ',' ORDER BY s, kind) FILTER (WHERE kind < {BASE} OR verdict = 'live') AS spans,
+ count(*) FILTER (WHERE verdict = 'live') AS n_live, count(*) FILTER (WHERE verdict = 'example') AS n_example FROM judged GROUP BY id)
+SELECT doc_id, {", ".join(f"coalesce(n_{KINDS[k]}, 0) AS n_{KINDS[k]}" for k in range(BASE))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+ coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN said USING (id)"""
+
+
+SQL = _oracle()
