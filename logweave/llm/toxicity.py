@@ -1,9 +1,13 @@
 """Operator 3, toxicity: a linear-chain conditional random field over tokens, aggregated to documents.
 
-Tokens are parted by white space.  Their features are whole words and word beginnings that occur in
-toxic training documents far more often than in others; the token labels follow from them: tokens
-with such a feature in a toxic document are toxic, all other tokens are not.  The field (two tags,
-transitions, a weight per feature) is trained on windows of tokens of a bounded sample.
+Tokens are parted by white space.  A token's own features are whole words and word beginnings that
+occur in toxic training documents far more often than in others; two features of its context say that
+the token before it, and the token after it, has such features.  The token labels follow from the
+document labels: in a toxic document the tokens with own features are toxic, and so are the few tokens
+between two of them (a toxic phrase is one span); all other tokens are not.  So a word of the lexicon
+in a clean document is labelled clean, and a word outside it can be toxic.  The field (two tags,
+transitions, a weight per feature) is trained on windows of tokens of a bounded sample; training and
+scoring read tokens the same way.
 
 A document's tokens without any feature all have the same potentials, so a stretch of g of them is
 the g-th power of one 2 x 2 matrix and exact forward-backward passes cost only as many steps as
@@ -27,17 +31,19 @@ from .common import carries, doc_crc, forgets, settle, slices, table, texts_of,
 
 FOLDS, HELD_OUT = 5, 0
 REJECT_AT = 0.5
-#: Bounds of what the field is fitted on: documents of each label, features, windows of tokens.
+#: Bounds of the labelled rows that the field is fitted on: documents of each label, windows of tokens.
 SAMPLE_DOCS = 3000
-MAX_FEATURES = 2000
-MAX_WINDOWS = 200_000
+MAX_WINDOWS = 60_000
 #: A feature's least share of toxic sample documents, least number of them, and least ratio of rates.
+#: The share bounds the features: there are at most 100 times as many as a sample document has on average.
 MIN_SHARE, MIN_DOCS, MIN_RATIO = 0.01, 4, 20.0
+#: Tokens between two with own features are labelled like them up to this distance of the two.
+MAX_GAP = 3
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WIDTH = 7
-SLOTS = 4
 _WORD = re.compile(r"[^\W\d_]+")
-_WHITE = " \t\n\r\x0b\x0c"
+_TOKEN = re.compile(r"\S+")
+_LETTER = re.compile(r"\w")
 
 
 def lowered(text: str | None) -> str:
@@ -62,38 +68,73 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(marks, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["y", "mark", "found"])
 
 
+def token_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens begin and end."""
+    return tuple(np.fromiter((at(m) for m in _TOKEN.finditer(text)), np.int64) for at in (re.Match.start, re.Match.end))
+
+
+def core(text: str, start: int, end: int) -> tuple[int, int]:
+    """A token without the punctuation around it, whole if there is nothing else."""
+    if (m := _LETTER.search(text, start, end)) is None:
+        return start, end
+    while not (text[end - 1].isalnum() or text[end - 1] == "_"):
+        end -= 1
+    return m.start(), end
+
+
 class Field:
-    """Features by name, their weights, the bias and transitions; picklable."""
+    """Features by name, their weights, the bias and transitions; picklable.
+
+    Feature numbers from ``len(names)`` on are those of the context.
+    """
 
     def __init__(self, names: list[str]) -> None:
         self.names = names
-        self.weights = np.zeros(len(names) + 1)  # the last: no feature
+        self.before, self.after = len(names), len(names) + 1
+        self.weights = np.zeros(len(names) + 2)
         self.bias, self.moves = 0.0, np.zeros((2, 2))
         self.scale = np.zeros(3)
 
-    def spots(self, text: str | None) -> list[tuple[int, int, int, list[int]]]:
-        """(token index, start, end, features) of the words that have features."""
+    def read(self, text: str | None) -> tuple[list[tuple[int, int, int, list[int]]], int]:
+        """(token index, start, end, features) of the tokens that have features, and the number of tokens."""
         if not self.names:
-            return []
+            return [], 0
         low = lowered(text)
-        found: dict[int, list[int]] = {}
+        found: dict[int, set[int]] = {}
         for last, (k, length, whole) in _automaton(tuple(self.names)).iter(low):
             start = last - length + 1
             if start and low[start - 1].isalpha():
                 continue
             if whole and last + 1 < len(low) and low[last + 1].isalpha():
                 continue
-            found.setdefault(start, []).append(k)
-        out, index, at = [], 0, 0
-        for start in sorted(found):
-            index += sum(low.count(c, at, start) for c in _WHITE)
-            at = start
-            end = _WORD.match(low, start).end()
-            if out and out[-1][0] == index:  # one token: its first word speaks, others add
-                i, s, _, ks = out[-1]
-                out[-1] = (i, s, end, [*ks, *found[start]])
-            else:
-                out.append((index, start, end, found[start]))
+            found.setdefault(start, set()).add(k)
+        if not found:
+            return [], 0
+        starts, ends = token_bounds(low)
+        own: dict[int, set[int]] = {}
+        places = sorted(found)
+        for place, i in zip(places, np.searchsorted(starts, places, "right") - 1):
+            own.setdefault(int(i), set()).update(found[place])
+        out = []
+        for i in sorted({j for i in own for j in (i - 1, i, i + 1) if 0 <= j < len(starts)}):
+            ks = sorted(own.get(i, ())) + [self.before] * (i - 1 in own) + [self.after] * (i + 1 in own)
+            out.append((i, *core(low, int(starts[i]), int(ends[i])), ks))
+        return out, len(starts)
+
+    def spots(self, text: str | None) -> list[tuple[int, int, int, list[int]]]:
+        return self.read(text)[0]
+
+    def windows(self, text: str | None, toxic: bool) -> list[tuple[list[list[int]], list[int]]]:
+        """Features and tags of the tokens around each token with own features, and of the middle."""
+        spots, tokens = self.read(text)
+        features = {i: ks for i, _, _, ks in spots}
+        own = [i for i, ks in features.items() if ks[0] < len(self.names)]
+        marked = set(own) | {k for i, j in zip(own, own[1:]) if j - i <= MAX_GAP for k in range(i, j)}
+        half = WIDTH // 2
+        out = []
+        for centre in [*own, tokens // 2]:
+            around = range(centre - half, centre + half + 1)
+            out.append(([features.get(i, []) for i in around], [int(toxic and i in marked) for i in around]))
         return out
 
     def marginals(self, spots: list[tuple[int, int, int, list[int]]], tokens: int) -> list[float]:
@@ -122,33 +163,35 @@ class Field:
         return out[::-1]
 
     def judge(self, text: str | None) -> tuple[list[tuple[int, int, int, list[int]]], list[float]]:
-        spots = self.spots(text)
-        return spots, self.marginals(spots, 1 + sum((text or "").count(c) for c in _WHITE)) if spots else []
+        spots, tokens = self.read(text)
+        return spots, self.marginals(spots, tokens)
 
     def score(self, marginals: list[float]) -> float:
         u = self.scale @ np.array([max(marginals, default=0.0), np.log1p(sum(marginals)), 1.0])
         return float(1 / (1 + np.exp(-np.clip(u, -30, 30))))
 
-    def fit(self, features: np.ndarray, tags: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> None:
-        """Conditional log-likelihood of ``tags (n, width)`` given ``features (n, width, slots)``, by
-        Adam on exact gradients; slot value len(names) means none."""
+    def fit(self, flat: np.ndarray, owner: np.ndarray, tags: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> None:
+        """Conditional log-likelihood of ``tags (n, width)``, by Adam on exact gradients.
+
+        ``flat`` are the features of all tokens, and ``owner`` the number of the token of each.
+        """
         n, width = tags.shape
         if not n:
             return
-        size = len(self.names)
-        flat = features.reshape(-1)
+        size = len(self.weights)
         x = np.zeros(size + 1 + 4)
         mean, var = np.zeros_like(x), np.zeros_like(x)
+        of_features = lambda p: np.bincount(flat, weights=p.reshape(-1)[owner], minlength=size)
         observed = np.zeros_like(x)
-        observed[:size] = np.bincount(flat, weights=np.repeat(tags.reshape(-1), features.shape[2]), minlength=size + 1)[:size]
+        observed[:size] = of_features(tags.astype(float))
         observed[size] = tags.sum()
         for i in range(2):
             for j in range(2):
                 observed[size + 1 + 2 * i + j] = ((tags[:, :-1] == i) & (tags[:, 1:] == j)).sum()
         for step in range(1, rounds + 1):
-            w = np.append(x[:size], 0.0)
             e = np.ones((n, width, 2))
-            e[:, :, 1] = np.exp(np.clip(x[size] + w[features].sum(axis=2), -30, 30))
+            own = np.bincount(owner, weights=x[flat], minlength=n * width).reshape(n, width)
+            e[:, :, 1] = np.exp(np.clip(x[size] + own, -30, 30))
             m = np.exp(x[size + 1 :].reshape(2, 2))
             f, b = np.zeros_like(e), np.ones_like(e)
             f[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
@@ -163,13 +206,13 @@ class Field:
             both = f[:, :-1, :, None] * m * (e * b)[:, 1:, None, :]
             both /= both.sum(axis=(2, 3), keepdims=True)
             expected = np.zeros_like(x)
-            expected[:size] = np.bincount(flat, weights=np.repeat(p[:, :, 1].reshape(-1), features.shape[2]), minlength=size + 1)[:size]
+            expected[:size] = of_features(p[:, :, 1])
             expected[size] = p[:, :, 1].sum()
             expected[size + 1 :] = both.sum(axis=(0, 1)).reshape(-1)
             g = (observed - expected) / n - decay * x
             mean, var = 0.9 * mean + 0.1 * g, 0.99 * var + 0.01 * g * g
             x = x + rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
-        self.weights = np.append(x[:size], 0.0)
+        self.weights = x[:size]
         self.bias, self.moves = float(x[size]), x[size + 1 :].reshape(2, 2)
 
     def fit_scale(self, u: np.ndarray, y: np.ndarray, rounds: int = 40) -> None:
@@ -223,19 +266,20 @@ def _automaton(names: tuple[str, ...]):
 forgets(_automaton.cache_clear)
 
 
+def ragged(features: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``flat`` and ``owner`` of an array of windows, each a list of tokens' lists of features."""
+    tokens = features.flatten()
+    lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
+    return tokens.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(tokens)), lengths)
+
+
+_WINDOWS = pa.schema([("features", pa.list_(pa.list_(pa.int32()))), ("tags", pa.list_(pa.int32()))])
+
+
 def _windows(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
-    """Windows of tokens around spots, and one from the middle of the text: features and tags."""
-    none, half = len(field.names), WIDTH // 2
     for batch in slices(batches, kind="toxicity"):
-        features, tags = [], []
-        for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            spots = {i: ks[:SLOTS] for i, _, _, ks in field.spots(text)}
-            middle = sum((text or "").count(c) for c in _WHITE) // 2
-            for centre in [*spots, middle]:
-                window = [spots.get(centre + k, []) for k in range(-half, half + 1)]
-                features.append([x for ks in window for x in [*ks, *[none] * (SLOTS - len(ks))]])
-                tags.append([int(bool(ks) and y == 1) for ks in window])
-        yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.int32())), pa.array(tags, pa.list_(pa.int32()))], ["features", "tags"])
+        made = [w for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in field.windows(text, y == 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*made)) or [[], []], _WINDOWS)], schema=_WINDOWS)
 
 
 def _judge(batches: Iterator[pa.RecordBatch], field: Field, carried: bool) -> Iterator[pa.RecordBatch]:
@@ -277,13 +321,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, column: str = "toxic
         .agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
         .where((F.col("t") >= max(MIN_DOCS, MIN_SHARE * toxic)) & (rate("t", toxic) >= MIN_RATIO * rate("c", other)))
         .orderBy(F.desc("t"), "name")
-        .limit(MAX_FEATURES)
     )
     field = Field([r.name for r in names.collect()])
-    windows = sample.mapInArrow(lambda it: _windows(it, field), "features array<int>, tags array<int>")
-    drawn = windows.orderBy(F.xxhash64("features", "tags")).limit(MAX_WINDOWS).collect() if field.names else []
-    if drawn:
-        field.fit(np.array([r.features for r in drawn]).reshape(-1, WIDTH, SLOTS), np.array([r.tags for r in drawn]))
+    if field.names:
+        windows = sample.mapInArrow(lambda it: _windows(it, field), "features array<array<int>>, tags array<int>")
+        drawn = windows.orderBy(F.xxhash64("features", "tags")).limit(MAX_WINDOWS).toArrow().combine_chunks()
+        if drawn.num_rows:
+            features, tags = (drawn.column(i).combine_chunks() for i in (0, 1))
+            field.fit(*ragged(features), tags.flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH))
     judged = sample.mapInArrow(lambda it: _marginals(it, field), "y int, m array<double>").collect()
     u = np.array([[r.m[0], np.log1p(r.m[1]), 1.0] if r.m else [0.0, 0.0, 1.0] for r in judged]).reshape(-1, 3)
     field.fit_scale(u, np.array([r.y for r in judged], float))
@@ -294,8 +339,9 @@ def tag(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",)) -> D
     """``row`` (a struct of the kept columns), ``score`` and ``spans(start, end, p)`` of every row.
 
     Spans are code points of the text.  Null and empty texts have no spans and the score of a text
-    without evidence; null and repeated doc_ids are scored row by row; an empty table gives no rows;
-    kept columns sit in a struct, so no name can clash.
+    without evidence; very long texts are read whole, a step for each token with features; null and
+    repeated doc_ids are scored row by row; an empty table gives no rows; kept columns sit in a struct,
+    so no name can clash.
     """
     rows, carried = with_text(docs, keep), carries(docs, keep)
     kind = rows.schema["row"].dataType.simpleString()
