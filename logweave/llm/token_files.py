@@ -15,7 +15,6 @@ under its name only when complete, so a task that is run again replaces its own
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -25,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import make_folder, mounted, open_file, rename
 from .common import hold, shared_path, slices, table
 from .encoding import BYTE_BPE, library_encoder, tokenizer_path
 
@@ -35,38 +35,8 @@ _META = "part int, docs long, tokens long"
 #: Bytes of ids in one batch of the reader, and of 32-bit ids in one write.
 READ_BYTES = 4 << 20
 WRITE_BYTES = 4 << 20
-
-
-def _local(path: str) -> str | None:
-    """The path if it is on a mounted file system."""
-    if path.startswith("file:"):
-        return "/" + path.removeprefix("file:").lstrip("/")
-    return path if "://" not in path else None
-
-
-def _open(path: str, mode: str):
-    """A file to write, or to read by position; other stores go through Arrow's file systems."""
-    if (local := _local(path)) is not None:
-        return open(local, mode)
-    from pyarrow.fs import FileSystem
-
-    fs, inner = FileSystem.from_uri(path)
-    return fs.open_output_stream(inner) if "w" in mode else fs.open_input_file(inner)
-
-
-def _make(folder: str) -> None:
-    if (local := _local(folder)) is not None:
-        os.makedirs(local, exist_ok=True)
-
-
-def _rename(old: str, new: str) -> None:
-    if (local := _local(old)) is not None:
-        os.replace(local, _local(new))
-    else:
-        from pyarrow.fs import FileSystem
-
-        fs, inner = FileSystem.from_uri(old)
-        fs.move(inner, FileSystem.from_uri(new)[1])
+#: Bytes of input that a part is made of, about, where there is more than fills the session's partitions.
+PART_BYTES = 256 << 20
 
 
 def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int | None, kind: str):
@@ -75,11 +45,11 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
     part = context.partitionId()
     encoder = library_encoder(tokenizer, True)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
-    _make(folder)
+    make_folder(folder)
     name = f"{folder}/part-{part:05d}"
     temp = f"{folder}/.part-{part:05d}-{context.attemptNumber()}-{context.taskAttemptId()}"
     docs = tokens = 0
-    files = {k: _open(f"{temp}.{k}", "wb") for k in KINDS}
+    files = {k: open_file(f"{temp}.{k}", "wb") for k in KINDS}
     try:
         files["offsets"].write(np.zeros(1, "<u8").tobytes())
         for batch in slices(batches, 1024, tokenizer):
@@ -98,19 +68,27 @@ def _write_part(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
         for f in files.values():
             f.close()
     for k in KINDS:
-        _rename(f"{temp}.{k}", f"{name}.{k}")
+        rename(f"{temp}.{k}", f"{name}.{k}")
     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], ["part", "docs", "tokens"])
 
 
+def parts_for(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Parts that the bytes of the tables below ask for (as the planner knows them, without a pass over
+    them), and no fewer than the session's shuffle partitions."""
+    leaves = docs.select("doc_id", "text")._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(n for n in sizes if n < 1 << 60)  # sources without a size say the largest number
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // part_bytes))
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = END_ID, vocab: int = 50_257, parts: int | None = None) -> dict:
     """Encode ``docs(doc_id, text, ...)`` into ``folder`` (one that all executors share).
 
-    Returns the manifest, which is also written.  Null texts count as empty (only the end id); null
-    doc_ids come first; repeated doc_ids stay, in the order of their texts' hashes; an empty table
+    Returns the manifest, which is also written.  Null texts count as empty (only the end id); very
+    long texts are encoded in blocks; null doc_ids come first; repeated doc_ids stay, in the order of their texts' hashes; an empty table
     gives empty parts; other columns are not read.
     """
-    spark = docs.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or parts_for(docs)
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
     dealt = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
@@ -128,24 +106,35 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         "tokens": bases[-1],
         "parts": [{"part": r.part, "docs": r.docs, "tokens": r.tokens, "token_base": b, "doc_base": d} for r, b, d in zip(found, bases, firsts)],
     }
-    _make(folder)
-    with _open(f"{folder}/index.json", "wb") as f:
+    make_folder(folder)
+    with open_file(f"{folder}/index.json", "wb") as f:
         f.write(json.dumps(manifest).encode())
     return manifest
 
 
 def read_manifest(folder: str) -> dict:
-    with _open(f"{folder}/index.json", "rb") as f:
+    with open_file(f"{folder}/index.json", "rb") as f:
         return json.loads(f.read())
 
 
+class Ranged:
+    """A flat array in a store that can't be mapped: stretches are read when they are asked for."""
+
+    def __init__(self, path: str, kind: str) -> None:
+        self.file, self.kind = open_file(path, "rb"), np.dtype(kind)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        size = self.kind.itemsize
+        self.file.seek(part.start * size)
+        return np.frombuffer(self.file.read((part.stop - part.start) * size), self.kind)
+
+
 def _mapped(path: str, kind: str, count: int) -> np.ndarray:
     if not count:
         return np.zeros(0, kind)
-    if (local := _local(path)) is not None:
+    if (local := mounted(path)) is not None:
         return np.memmap(local, kind, "r", shape=(count,))
-    with _open(path, "rb") as f:
-        return np.frombuffer(f.read(), kind, count)
+    return Ranged(path, kind)[0:count]
 
 
 class TokenFiles:
@@ -165,9 +154,11 @@ class TokenFiles:
         return None if ids[i] == NULL_ID else int(ids[i]), p["token_base"] + int(offsets[i]), tokens[int(offsets[i]) : int(offsets[i + 1])]
 
 
-def _maps(folder: str, kind: str, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _maps(folder: str, kind: str, p: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray | Ranged]:
+    """doc_ids, offsets and ids of a part; ids that can't be mapped are read by stretches."""
     name = f"{folder}/part-{p['part']:05d}"
-    return _mapped(f"{name}.docs", "<i8", p["docs"]), _mapped(f"{name}.offsets", "<u8", p["docs"] + 1), _mapped(f"{name}.tokens", kind, p["tokens"])
+    tokens = _mapped(f"{name}.tokens", kind, p["tokens"]) if mounted(name) is not None or not p["tokens"] else Ranged(f"{name}.tokens", kind)
+    return _mapped(f"{name}.docs", "<i8", p["docs"]), _mapped(f"{name}.offsets", "<u8", p["docs"] + 1), tokens
 
 
 def _read_part(batches: Iterator[pa.RecordBatch], folder: str, kind: str) -> Iterator[pa.RecordBatch]:
