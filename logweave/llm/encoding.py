@@ -18,7 +18,7 @@ from .common import forgets
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Bytes of pieces that a worker remembers, about, and the longest piece that it does.
-KEPT_BYTES = 192 << 20
+KEPT_BYTES = 320 << 20
 KEPT_CHARS = 40
 #: What a remembered piece takes: two small objects and a place in a table.
 ENTRY_BYTES = 200
