@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,10 +46,38 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, tag)
+    if _recording:
+        _recorded.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_recorded: list[str] = []
+_recording: list[bool] = []
+
+
+@contextmanager
+def recording() -> Iterator[None]:
+    """What is settled in here may be deleted by a later ``release``."""
+    _recording.append(True)
+    try:
+        yield
+    finally:
+        _recording.pop()
+
+
+def release(spark: SparkSession, *used: DataFrame) -> None:
+    """Delete recorded steps, but for those that ``used`` still read.
+
+    For the beginning of a stage whose input has been written: nothing else needs the steps before.
+    """
+    files = [f for df in used for f in df.inputFiles()]
+    for path in _recorded[:]:
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
+            _recorded.remove(path)
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder and all that it holds, in whatever store it is."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -35,3 +35,18 @@ def test_write_whole(tmp_path):
     shared.write_whole(f"file://{tmp_path}/x", b"one")
     shared.write_whole(f"{tmp_path}/x", b"two", 3)
     assert (tmp_path / "x").read_bytes() == b"two" and [p.name for p in tmp_path.iterdir()] == ["x"]
+
+
+def test_release_keeps_what_is_still_read(spark):
+    import os
+
+    here = lambda df: [f.removeprefix("file://") for f in df.inputFiles()]
+    outside = shared.settle(spark.range(3), "outside")
+    with shared.recording():
+        first, second = shared.settle(spark.range(4), "one"), shared.settle(spark.range(5), "two")
+    files = here(first) + here(second)
+    shared.release(spark, first.select("id"))
+    assert first.count() == 4 and outside.count() == 3
+    assert [os.path.exists(f) for f in files] == [True] * len(here(first)) + [False] * (len(files) - len(here(first)))
+    shared.release(spark)
+    assert not any(map(os.path.exists, files)) and outside.count() == 3
