@@ -20,7 +20,7 @@ copies) is numbered in parts by row, so no task ever ranks a hot group alone.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import reduce
 from itertools import accumulate
 from operator import or_
@@ -119,27 +119,26 @@ class Atoms:
         """The capacity if runs were atoms: no less than the groups need."""
         return minimax_cuts(self.sizes, self.shards)[0]
 
-    def open_ranges(self) -> list[tuple[int, int, int]]:
-        """(first key, last key, bits) of the runs of several groups within reach of a greedy cut."""
-        prefix, most, at, out = self.prefix, self.upper(), 0, set()
+    def open_ranges(self) -> list[tuple[int, int]]:
+        """First and last keys of the stretches within reach of a greedy cut that hold a run of several
+        groups: one for each cut at most."""
+        prefix, most, at, out = self.prefix, self.upper(), 0, []
         for k in range(1, self.shards):
             # a fill by whole runs and the least capacity cuts before the k-th cut, k full shards end after it
             at = max(at, bisect_right(prefix, prefix[at] + self.least) - 1)
-            first = at if prefix[at] <= k * most else len(self.runs)
-            for i in range(first, len(self.runs)):
-                if prefix[i] >= k * most:
-                    break
-                if self.runs[i][3] > 1 and self.runs[i][1] < KEY_BITS:
-                    out.add(i)
-        ranges: list[tuple[int, int, int]] = []
-        for i in sorted(out):
-            key, bits, *_ = self.runs[i]
-            last = key + (1 << (KEY_BITS - bits)) - 1
-            if ranges and ranges[-1][1] + 1 == key and ranges[-1][2] == bits:
-                ranges[-1] = (ranges[-1][0], last, bits)
-            else:
-                ranges.append((key, last, bits))
-        return ranges
+            end = min(bisect_left(prefix, k * most), len(self.runs))
+            several = [i for i in range(at, end) if self.runs[i][3] > 1 and self.runs[i][1] < KEY_BITS]
+            if several:
+                first, last = self.runs[several[0]][0], self._last_key(several[-1])
+                if out and first <= out[-1][1] + 1:
+                    out[-1] = (out[-1][0], max(last, out[-1][1]))
+                else:
+                    out.append((first, last))
+        return out
+
+    def _last_key(self, i: int) -> int:
+        key, bits, *_ = self.runs[i]
+        return key + (1 << (KEY_BITS - bits)) - 1
 
 
 def _runs(groups: DataFrame, bits: int) -> list[tuple[int, int, int, int]]:
@@ -162,11 +161,13 @@ def plan(groups: DataFrame, shards: int = SHARDS, atoms: int = ATOMS) -> tuple[l
     bits = max(1, min(KEY_BITS, atoms.bit_length() - 1))
     found = Atoms(_runs(others, bits), shards - len(giants), largest)
     while ranges := found.open_ranges():
-        inside = lambda c: reduce(or_, [c.between(a, b) for a, b, _ in ranges])
-        closed = [r for r in found.runs if not any(a <= r[0] <= b for a, b, _ in ranges)]
-        runs = sum((b - a + 1) >> (KEY_BITS - n) for a, b, n in ranges)
-        bits = min(KEY_BITS, max(n for *_, n in ranges) + max(1, (atoms // runs).bit_length() - 1))
-        found = Atoms([*closed, *_runs(others.where(inside(F.col("key"))), bits)], shards - len(giants), largest)
+        inside = lambda key: any(a <= key <= b for a, b in ranges)  # noqa: E731, B023
+        opened = [r for r in found.runs if inside(r[0])]
+        several = [r for r in opened if r[3] > 1]
+        # so many further bits that about ``atoms`` sizes come back, one at least
+        bits = min(KEY_BITS, max(r[1] for r in several) + max(1, (atoms // len(several)).bit_length() - 1))
+        within = reduce(or_, [F.col("key").between(a, b) for a, b in ranges])
+        found = Atoms([*(r for r in found.runs if not inside(r[0])), *_runs(others.where(within), bits)], shards - len(giants), largest)
     capacity, cuts = minimax_cuts(found.sizes, found.shards)
     return giants, [found.runs[c][0] for c in cuts[:-1]], capacity
 

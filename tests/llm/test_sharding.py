@@ -140,7 +140,7 @@ def test_query_has_the_least_capacity_over_groups(spark, atoms, part_rows):
     assert order == sorted(order)
 
 
-@pytest.mark.parametrize("atoms", [2, 8, 128])
+@pytest.mark.parametrize("atoms", [2, 8, 128, 1024])
 def test_plan_finds_the_least_capacity(spark, atoms):
     rng = random.Random(atoms)
     for shards in (2, 5, 9):
@@ -153,8 +153,11 @@ def test_plan_finds_the_least_capacity(spark, atoms):
 
 def test_only_runs_near_cuts_are_opened():
     runs = [(i << (KEY_BITS - 10), 10, 1000 + i % 7, 50) for i in range(1 << 10)]
-    opened = sum((b - a + 1) >> (KEY_BITS - 10) for a, b, _ in Atoms(runs, 8, 40).open_ranges())
+    opened = sum((b - a + 1) >> (KEY_BITS - 10) for a, b in Atoms(runs, 8, 40).open_ranges())
     assert 0 < opened < 60
+    # runs of several groups here and there: still one stretch a cut at most
+    mixed = [(i << (KEY_BITS - 12), 12, rng.randrange(20, 4000), rng.choice([1, 1, 1, 2])) for rng in [random.Random(1)] for i in range(1 << 12)]
+    assert 0 < len(Atoms(mixed, 40, 4000).open_ranges()) <= 39
 
 
 def test_whole_table(spark):
