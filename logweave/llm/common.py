@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship
 from ..shared import purge, remove, settle, shared_dir, shared_path  # noqa: F401  for the operators
 
 
@@ -48,13 +49,15 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A query or stage whose Arrow batches are 4 MB at most, unless the session says otherwise.
+    """A query or stage whose Arrow batches are 4 MB at most, unless the session says otherwise, and
+    whose executors have this package.
 
     By default a batch has up to 64 MB of texts, on both sides of each worker's socket.
     """
 
     @wraps(query)
     def run(spark: SparkSession, *args) -> DataFrame:
+        ship(spark)
         if spark.conf.get(_BATCH, None) in ("64MB", "67108864", "67108864b"):
             spark.conf.set(_BATCH, "4m")
         return query(spark, *args)

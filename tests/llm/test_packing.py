@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logweave.llm.common import table
@@ -85,3 +86,21 @@ def test_nulls_repeats_empty(spark):
     assert sum(r.length for r in rows) == 1 + 3 + 1 + 1 + 9001
     assert sorted((r.doc_id or 0, r.start, r.length) for r in rows if r.doc_id != 3) == [(0, 0, 3), (1, 0, 1), (2, 0, 1), (2, 0, 1)]
     assert pack(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_equal_lengths_and_memory_bound(spark):
+    """Ties of equal fills, and workers that remember next to nothing."""
+    library = Tokenizer.from_file(PATH)
+    docs = [(i, f"one two three four five six seven {chr(97 + i % 26)}", "", "") for i in range(500)]
+    want = {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t, *_ in docs}
+    for window, kept in ((16, 1 << 20), (17, 1 << 20), (64, 2000)):
+        rows = pack(spark.createDataFrame(docs, SCHEMA).withColumn("n", F.lit(0)), PATH, window=window, open_windows=4, kept_bytes=kept)
+        n = check(rows.withColumn("ids_crc32", F.crc32("ids")).collect(), want, window)
+        assert n * window < 1.1 * sum(map(len, want.values())) + 4 * window
+
+
+def test_very_long_text_without_spaces(spark):
+    library = Tokenizer.from_file(PATH)
+    docs = [(1, "ab" * 300_000, "", ""), (2, "x", "", "")]
+    want = {d: [*library.encode(t, add_special_tokens=False).ids, 1] for d, t, *_ in docs}
+    check(pack(spark.createDataFrame(docs, SCHEMA), PATH).withColumn("ids_crc32", F.crc32("ids")).collect(), want)

@@ -55,3 +55,37 @@ def test_nulls_repeats_empty(spark):
     got = classify(docs, labels, F.lit(True)).collect()
     assert len(got) == 4 and len({r.score for r in got}) == 1
     assert classify(spark.createDataFrame([], SCHEMA), labels, F.lit(True)).collect() == []
+
+
+def test_query_against_brute_force(spark):
+    """Scores of the whole table from a model fitted with numpy, Gaussian densities written out."""
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").collect()
+    y = {r.doc_id: r.quality for r in table(spark, sf, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    x = {d.doc_id: np.array(features(d.text)) for d in docs}
+    ids = sorted(d for d in y if d in x)
+    rows, labels = np.array([x[d] for d in ids]), np.array([y[d] for d in ids], float)
+    groups = [rows[labels == k] for k in (0, 1)]
+    means = [g.mean(0) for g in groups]
+    scatters = [(g - m).T @ (g - m) for g, m in zip(groups, means)]
+    pooled = sum(scatters) / len(rows)
+    unit = np.sqrt(np.maximum(np.diag(pooled), 1e-12))
+    covs = []
+    for g, s in zip(groups, scatters):
+        own = (0.9 * s / len(g) + 0.1 * pooled) / np.outer(unit, unit)
+        covs.append(0.98 * own + (0.02 * np.trace(own) / len(unit) + 1e-6) * np.eye(len(unit)))
+
+    def density(v, k):
+        z = (v - means[k]) / unit
+        return -0.5 * (z @ np.linalg.solve(covs[k], z) + np.linalg.slogdet(covs[k])[1])
+
+    squashed = lambda v: np.sign(d := density(v, 1) - density(v, 0)) * abs(d) ** 0.5
+    u, w = np.array([[squashed(v), 1.0] for v in rows]), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(u @ w, -30, 30)))
+        w += np.linalg.solve((u * (p * (1 - p))[:, None]).T @ u + 1e-3 * np.eye(2), u.T @ (labels - p) - 1e-3 * w)
+    got = {r.doc_id: r for r in op10_quality(spark, sf).collect()}
+    for d, v in x.items():
+        want = 1 / (1 + np.exp(-np.clip(squashed(v) * w[0] + w[1], -30, 30)))
+        assert got[d].score == pytest.approx(want, abs=1e-5)
+        assert got[d].predicted == int(got[d].score >= 0.7)

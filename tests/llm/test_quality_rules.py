@@ -98,3 +98,9 @@ def test_against_sql(spark):
     from tests.oracle import compare
 
     assert compare(spark, op9_quality_rules, SQL, "/root/testdata/sf0.001") is None
+
+
+def test_very_long_texts():
+    for text in ("word the\n" * 40_000, "x" * 500_000, "a b c d e f g h i " * 20_000):
+        assert measure(text)[0] == len(text.split())
+    assert measure("word the\n" * 3000)[:5] == (6000, 21000, 0, 2999, 6000)

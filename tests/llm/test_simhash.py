@@ -92,3 +92,11 @@ def test_nulls_blanks_repeats_empty(spark):
     rows = near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (-1, 3), (3, 3), (3, 3), (4, 3), (9, 3)]
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    docs = [(1, long), (2, long + " end"), (3, "x" * 1_000_000), (4, "x" * 1_000_000), (5, "")]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(d, t, "", "") for d, t in docs], SCHEMA)).collect()}
+    assert got == brute(docs) and got[4] == 3
