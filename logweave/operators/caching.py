@@ -9,11 +9,11 @@ from .sequential import anchored_window, sequential
 
 
 def _step(state, row):
-    state, out = _answer(state, row)
+    state, out = answer(state, row)
     return state, (*out, state is not None)
 
 
-def _answer(state, row):
+def answer(state, row):
     """state: (version, fetched, expires) or None; row: an invalidation, or a read with the origin's answer."""
     kind, t, ok, version, ttl = row
     if kind == 0:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import commands as C
+from ..shared import settle
 from ..sources.telemetry_files import batches
 from . import bases as B
 from .bases import sql, table
@@ -158,3 +159,40 @@ add(
     lambda s, d: B.raw(s, d).groupBy("event_type").agg(F.count_if(F.col("k") == 13).alias("unknown"), F.count("*").alias("calls")),
     sql(B.RAW, "SELECT event_type, count(*) FILTER (WHERE k = 13) AS unknown, count(*) AS calls FROM raw GROUP BY event_type"),
 )
+
+
+def history_precedence(spark, sf):
+    """Pairs that contradict real time, by key: of two calls that don't overlap, the later one must not
+    return less than the earlier one, and a later write must make more.
+
+    Each kind is a running maximum over the calls that had returned before a call began, in one union
+    of returns and calls, so no pair of calls is ever a row.
+    """
+    writes, reads = _history(spark, sf)
+    writes = settle(writes, "writes")
+    w = Window.partitionBy("key").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    asked = reads.select("key", "read_id", F.col("seen_at").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("bigint").alias("version"))
+    made = writes.select("key", F.lit(None).cast("bigint").alias("read_id"), F.col("call").alias("t"), F.lit(1).alias("side"), "version")
+    seen = asked.unionByName(made).withColumn("version", F.coalesce(F.max("version").over(w), F.lit(0))).where("side = 0").select("key", "read_id", "version")
+    calls = seen.select("key", (F.col("read_id") * 1000).alias("call"), (F.col("read_id") * 1000 + F.col("read_id") % 7 * 900).alias("ret"), "version", F.lit("read").alias("op"))
+    calls = settle(calls.unionByName(writes.select("key", "call", "ret", "version", F.lit("write").alias("op"))), "calls")
+    # a return counts for calls that begin after it: at equal times the call comes first
+    begun = calls.select("key", F.col("call").alias("t"), F.lit(0).alias("side"), "op", "version", F.lit(None).cast("bigint").alias("by_read"), F.lit(None).cast("bigint").alias("by_write"))
+    done = lambda op: F.when(F.col("op") == op, F.col("version"))
+    ended = calls.select("key", F.col("ret").alias("t"), F.lit(1).alias("side"), "op", "version", done("read").alias("by_read"), done("write").alias("by_write"))
+    ordered = begun.unionByName(ended).withColumns({c: F.max(c).over(w) for c in ("by_read", "by_write")}).where("side = 0")
+    read, write, own = F.col("op") == "read", F.col("op") == "write", F.col("version")
+    return ordered.groupBy("key").agg(
+        F.count("*").alias("calls"), F.count_if(read & (own < F.col("by_write"))).alias("write_read"), F.count_if(read & (own < F.col("by_read"))).alias("read_read"),
+        F.count_if(write & (own <= F.col("by_write"))).alias("write_write"), F.count_if(write & (own <= F.col("by_read"))).alias("read_write"),
+    )
+
+
+add("history_precedence", history_precedence, sql(B.EXECUTED + """,
+writes AS (SELECT e.key, e.event_id * 1000 AS call, e.event_id * 1000 + r.k * 100 AS ret, e.version FROM executed e JOIN raw r ON r.event_id = e.event_id WHERE e.status = 'OK'),
+reads AS (SELECT key, event_id AS read_id, event_id * 1000 - k % 5 * 40000 AS seen_at FROM keyed WHERE event_type = 'view' AND k <> 13),
+calls AS (SELECT key, read_id * 1000 AS call, read_id * 1000 + read_id % 7 * 900 AS ret, coalesce((SELECT max(version) FROM writes w WHERE w.key = r.key AND w.call < r.seen_at), 0) AS version, 'read' AS op FROM reads r
+ UNION ALL SELECT key, call, ret, version, 'write' FROM writes),
+judged AS (SELECT key, op, version, (SELECT max(version) FROM calls x WHERE x.key = c.key AND x.op = 'read' AND x.ret < c.call) AS by_read, (SELECT max(version) FROM calls x WHERE x.key = c.key AND x.op = 'write' AND x.ret < c.call) AS by_write FROM calls c)""",
+    """SELECT key, count(*) AS calls, count(*) FILTER (WHERE op = 'read' AND version < by_write) AS write_read, count(*) FILTER (WHERE op = 'read' AND version < by_read) AS read_read,
+ count(*) FILTER (WHERE op = 'write' AND version <= by_write) AS write_write, count(*) FILTER (WHERE op = 'write' AND version <= by_read) AS read_write FROM judged GROUP BY key"""))

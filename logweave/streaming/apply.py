@@ -14,6 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 OUTPUT = "shard int, log_index long, key string, op string, anchor long, status string, version long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+COLUMNS = ["shard", "log_index", "key", "op", "anchor", "status", "version"]
+#: Early rows that wait in memory, and outcomes that are collected before they are given on.
+EARLY, GIVEN_ON = 20_000, 10_000
 
 
 class ShardMachine(StatefulProcessor):
@@ -28,6 +31,8 @@ class ShardMachine(StatefulProcessor):
         # remembered requests by anchor, so that old ones can be dropped
         self.order = handle.getMapState("order", "anchor long", "id string")
         self.oldest = handle.getValueState("oldest", "idx long")
+        #: how many rows wait in ``pending``
+        self.stored = handle.getValueState("stored", "n long")
 
     def _apply(self, idx: int, key: str, op: str, has_expected: bool, expected: int, request: str):
         if request and self.requests.containsKey((request,)):
@@ -60,29 +65,60 @@ class ShardMachine(StatefulProcessor):
         self.oldest.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Rows in order are applied as they come; early ones wait, the first in memory, others in state.
+
+        Neither the waiting rows in memory nor the outcomes that are not yet given on exceed a bound,
+        however large a shard's micro-batch is.
+        """
         at = self.next.get()[0] if self.next.exists() else 1
-        ready = {}
+        early: dict[int, tuple] = {}
+        stored = int(self.stored.get()[0]) if self.stored.exists() else 0
+        out: list[tuple] = []
+
+        def waiting(idx: int):
+            nonlocal stored
+            if idx in early:
+                return early.pop(idx)
+            if stored and self.pending.containsKey((idx,)):
+                row = tuple(self.pending.getValue((idx,)))
+                self.pending.removeKey((idx,))
+                stored -= 1
+                return row
+            return None
+
+        def store(idx: int, row: tuple) -> None:
+            nonlocal stored
+            stored += not self.pending.containsKey((idx,))
+            self.pending.updateValue((idx,), row)
+
+        def apply_from(row) -> None:
+            nonlocal at
+            while row is not None:
+                anchor, status, version = self._apply(at, *row)
+                out.append((key[0], at, row[0], row[1], anchor, status, version))
+                at += 1
+                row = waiting(at)
+
+        apply_from(waiting(at))
         for pdf in rows:
             for r in pdf.itertuples(index=False):
-                if int(r.log_index) >= at:
-                    ready[int(r.log_index)] = (r.key, r.op, bool(r.has_expected), int(r.expected), r.request_id or "")
-        out = []
-        while True:
-            if at in ready:
-                row = ready.pop(at)
-            elif self.pending.containsKey((at,)):
-                row = tuple(self.pending.getValue((at,)))
-                self.pending.removeKey((at,))
-            else:
-                break
-            anchor, status, version = self._apply(at, *row)
-            out.append((key[0], at, row[0], row[1], anchor, status, version))
-            at += 1
-        for idx, row in ready.items():
-            self.pending.updateValue((idx,), row)
+                idx, row = int(r.log_index), (r.key, r.op, bool(r.has_expected), int(r.expected), r.request_id or "")
+                if idx == at:
+                    apply_from(row)
+                elif idx > at and (idx in early or len(early) < EARLY):
+                    early[idx] = row
+                elif idx > at:
+                    store(idx, row)
+                if len(out) >= GIVEN_ON:
+                    self._forget(at)
+                    yield pd.DataFrame(out, columns=COLUMNS)
+                    out.clear()
+        for idx, row in early.items():
+            store(idx, row)
+        self.stored.update((stored,))
         self.next.update((at,))
         self._forget(at)
-        yield pd.DataFrame(out, columns=["shard", "log_index", "key", "op", "anchor", "status", "version"])
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
