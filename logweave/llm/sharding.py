@@ -14,8 +14,9 @@ by further hash bits and summed again, until windows hold single groups.  Cuts e
 between runs, which are between groups.
 
 Slots within a shard are ``base of the cell + rank in the cell``, a cell being the groups of equal
-leading hash bits within a shard.  A cell of more than ``part_rows`` rows (a text with very many
-copies) is numbered in parts by row, so no task ever ranks a hot group alone.
+leading hash bits within a shard.  A cell of more than ``part_rows`` rows, or of more than a small share
+of all rows (a text with very many copies), is numbered in parts by row, so no task ever ranks a hot
+group alone.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from .common import settle, table
 SHARDS = 40
 #: Sizes that the driver sees at once, about; cells of slots are as many.
 ATOMS = 1 << 16
+#: Rows of a cell that one task ranks, at most: so many, or this share of all rows.
 PART_ROWS = 1 << 20
+PART_SHARE = 512
 OVERHEAD = 16
 #: Bits of a text's hash that order the groups.
 KEY_BITS = 60
@@ -205,6 +208,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, atoms: int = ATOMS, part_rows:
         shard_of = shard_of + (F.col("key") >= first).cast("int")
     for i, key in enumerate(giants):
         shard_of = F.when(F.col("key") == key, i).otherwise(shard_of)
+    part_rows = max(1, min(part_rows, (groups.agg(F.sum("rows")).first()[0] or 0) // PART_SHARE))
     # at most as many cells as atoms: a few bytes each
     cells = groups.groupBy(F.shiftright("key", KEY_BITS - bits).cast("int").alias("cell")).agg(F.ceil(F.sum("rows") / part_rows).cast("long").alias("parts"))
     part = F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int")
