@@ -30,6 +30,14 @@ class BKTree:
         edges.append({})
         return len(points) - 1
 
+    def path(self, point: int) -> Iterator[tuple[int, int]]:
+        """The nodes that adding ``point`` passes, each with its distance."""
+        at = 0 if self.points else None
+        while at is not None:
+            d = (self.points[at] ^ point).bit_count()
+            yield at, d
+            at = self.edges[at].get(d) if d else None
+
     def within(self, point: int, radius: int) -> Iterator[int]:
         """Nodes at most ``radius`` from ``point``: only edges within the radius are followed."""
         if not self.points:

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 
 from logweave.llm.common import table
-from logweave.llm.near_copies import BANDS, alike, bucket_links, hashes, keep_one, shingles, signature
+from logweave.llm import near_copies
+from logweave.llm.near_copies import BANDS, RADIUS, alike, bucket_links, fingerprint, hashes, keep_one, path_links, shingles, signature
 
 SCHEMA = "doc_id long, text string"
 
@@ -104,3 +106,92 @@ def test_nulls_blanks_repeats_empty(spark):
     rows = keep_one(spark.createDataFrame(docs, SCHEMA)).collect()
     assert sorted((r.doc_id or -1, r.text) for r in rows) == [(-1, "only null here now"), (3, "")]
     assert keep_one(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def bits(a, b):
+    return (a ^ b).bit_count()
+
+
+def test_fingerprint_of_distinct_shingles():
+    for text in ["", "one", "a b c d e f g", "word " * 300, "A b\nc d e f " * 40]:
+        h = [int(x) for x in hashes(text)]
+        assert fingerprint(hashes(text)) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    once, often = "a b c d e f g a b c d", "a b c d e f g " * 50  # repeats do not weigh
+    assert shingles(once) == shingles(often) and signature(once)[3] == signature(often)[3] == fingerprint(hashes(once))
+
+
+@pytest.mark.parametrize("common, left, right", [(4, 0, 1), (8, 1, 1), (12, 1, 2), (16, 2, 2), (48, 6, 6), (176, 22, 22), (176, 0, 44)])
+def test_radius_holds_pairs_at_the_threshold(common, left, right):
+    """Sets of exactly 0.8: the worst sizes differ in 12 bits of 64 on average, others in 10."""
+    rng, apart = np.random.default_rng(common), []
+    for _ in range(2000):
+        h = np.unique(rng.integers(0, 1 << 64, common + left + right, np.uint64, endpoint=False))
+        rng.shuffle(h)
+        apart.append(bits(fingerprint(h[: common + left]), fingerprint(np.concatenate((h[:common], h[common + left :])))))
+    assert max(apart) <= RADIUS and 8 < np.mean(apart) < 13
+
+
+def test_every_link_comes_out_of_a_tree(spark):
+    """A smaller radius loses just the links beyond it: there is no way around the trees."""
+    docs, groups = [], 30
+    for g in range(groups):
+        words = [f"g{g}w{i}" for i in range(202)]
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, copy_of(words, 20))]
+    marks = [fingerprint(hashes(t)) for _, t in docs]
+    far = [bits(marks[2 * g], marks[2 * g + 1]) for g in range(groups)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    for radius in (0, 9, RADIUS):
+        want = sorted(d for d, _ in docs if d % 2 == 0 or far[d // 2] > radius)
+        assert sorted(r.doc_id for r in keep_one(frame, radius).collect()) == want
+    assert 0 < sum(x <= 9 for x in far) < groups
+
+
+def test_bucket_links_within_the_radius():
+    rng, texts = random.Random(9), []
+    for g in range(60):
+        words = [f"g{g % 20}w{i}" for i in range(120)]
+        texts.append(" ".join(f"r{rng.random()}" if rng.random() < 0.01 else w for w in words))
+    sets, ids = [hashes(t) for t in texts], list(range(len(texts)))
+    marks = [fingerprint(s) for s in sets]
+    for radius in (0, 6, 12, RADIUS):
+        links = bucket_links(ids, ids, sets, radius)
+        near = {(a, b) for a in ids for b in ids if a < b and bits(marks[a], marks[b]) <= radius and alike(shingles(texts[a]), shingles(texts[b]))}
+        assert {(min(x), max(x)) for x in links} <= near
+        assert groups_of(ids, links) == groups_of(ids, near)
+
+
+def groups_of(ids, links):
+    up = dict(zip(ids, ids))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        up[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in ids]
+
+
+def test_path_links():
+    rng = random.Random(2)
+    base = rng.getrandbits(64)
+    points = [(-i, 100, base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))) for i in range(300)]
+    links = path_links(points)
+    assert len(links) <= 2 * len(points) and all(a < b for a, b in links)
+    assert {a for a, _ in links} == {-i for i in range(1, 300)}  # each meets one before it
+    assert sum(b == 0 for _, b in links) == 299  # and the first
+    assert path_links([(1, 100, base), (2, 79, base), (3, 80, base)]) == [(1, 3)]
+    assert path_links([(1, 9, 0), (2, 9, (1 << RADIUS + 1) - 1)]) == [] and path_links([]) == []
+
+
+def test_divided_trees(spark, monkeypatch):
+    """Parts of a shard share its first point, and what they leave apart is compared whole."""
+    monkeypatch.setattr(near_copies, "PART", 3)
+    docs = []
+    for g in range(3):  # chains, as above
+        words = [f"g{g}w{i}" for i in range(150)]
+        for step in range(9):
+            docs.append((len(docs), " ".join(words)))
+            words[step * 15 : step * 15 + 5] = [f"g{g}s{step}n{i}" for i in range(5)]
+    assert sorted(r.doc_id for r in keep_one(spark.createDataFrame(docs, SCHEMA)).collect()) == brute(docs) == [0, 9, 18]
