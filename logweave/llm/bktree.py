@@ -54,6 +54,24 @@ class BKTree:
             else:
                 stack += [c for e, c in children.items() if d - radius <= e <= d + radius]
 
+    def met(self, queries: np.ndarray, radius: int) -> np.ndarray:
+        """``within`` of many points: a row for each query, and a column for each node, true where it is met.
+
+        The tree is searched level by level; a subtree is left when no query follows its edge.
+        """
+        points = np.array(self.points, np.uint64)
+        found = np.zeros((len(queries), len(points)), bool)
+        level, alive = np.arange(min(1, len(points))), np.ones((len(queries), min(1, len(points))), bool)
+        while len(level):
+            d = np.bitwise_count(queries[:, None] ^ points[level]).astype(np.int8)
+            found[:, level] = alive & (d <= radius)
+            below = [(child, k, e) for k, at in enumerate(level.tolist()) for e, child in self.edges[at].items()]
+            level, parent, edge = np.array(below, np.int64).reshape(-1, 3).T
+            alive = alive[:, parent] & (np.abs(d[:, parent] - edge.astype(np.int8)) <= radius)
+            followed = alive.any(axis=0)
+            level, alive = level[followed], alive[:, followed]
+        return found
+
 
 def tree_links(points: Iterable[int], radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among ``points``: at most one link per point."""

@@ -5,6 +5,7 @@ import pytest
 
 from logweave.llm.common import table
 from logweave.llm import near_copies
+from logweave.llm.bktree import BKTree
 from logweave.llm.near_copies import BANDS, RADIUS, alike, bucket_links, fingerprint, hashes, keep_one, path_links, shingles, signature
 
 SCHEMA = "doc_id long, text string"
@@ -173,6 +174,19 @@ def groups_of(ids, links):
     return [top(i) for i in ids]
 
 
+def test_trees_are_searched_for_many_points_as_for_one():
+    rng = random.Random(6)
+    points = [rng.getrandbits(64) for _ in range(40)]
+    points += [p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in points * 5] + [0, (1 << 64) - 1]
+    tree = BKTree()
+    nodes = [tree.add(p) for p in points]
+    for radius in (0, 2, 9, RADIUS, 64):
+        met = tree.met(np.array(points, np.uint64), radius)[:, nodes]
+        assert (met == [[bits(p, q) <= radius for q in points] for p in points]).all()
+        assert [sorted(tree.within(p, radius)) for p in points[:20]] == [sorted({n for n, q in zip(nodes, points) if bits(p, q) <= radius}) for p in points[:20]]
+    assert BKTree().met(np.zeros(3, np.uint64), 2).shape == (3, 0) and tree.met(np.zeros(0, np.uint64), 2).shape == (0, len(tree.points))
+
+
 def test_path_links():
     rng = random.Random(2)
     base = rng.getrandbits(64)
